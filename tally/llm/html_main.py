@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 500
-TREES, DEPTH, RATE, BINS, L2 = 40, 4, 0.3, 32, 1.0
+TRAIN_PAGES = 1000
+TREES, DEPTH, RATE, BINS, L2, MIN_HESSIAN = 40, 4, 0.3, 32, 1.0, 2.0
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"(?:class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -292,6 +292,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
                 hl = np.bincount(key, h, width * BINS).reshape(width, BINS).cumsum(1)
                 gt, ht = gl[:, -1:], hl[:, -1:]
                 s = gl**2 / (hl + L2) + (gt - gl) ** 2 / (ht - hl + L2) - gt**2 / (ht + L2)
+                s[(hl < MIN_HESSIAN) | (ht - hl < MIN_HESSIAN)] = 0
                 s = s[:, : len(cuts[j])]
                 if s.shape[1]:
                     place[:, j] = s.argmax(1)
@@ -345,7 +346,11 @@ def made_page(rng: random.Random) -> tuple[str, str]:
         n = rng.choice([n, n, f"{n}-{rng.choice(['wrap', 'box', 'inner', 'area'])}", f"site-{n}", f"{n} {rng.choice(['dark', 'col', 'row'])}"])
         return f' {rng.choice(["class", "class", "id"])}="{n}"'
 
-    junk = lambda tag, attrs, inner: f"<{tag}{attrs}>{inner}</{tag}>"
+    def junk(tag: str, attrs: str, inner: str) -> str:
+        if tag == "p":  # holds no blocks
+            inner = re.sub(r"</?(?:p|div|ul|li)>", " ", inner)
+        return f"<{tag}{attrs}>{inner}</{tag}>"
+
     links = lambda n: "".join(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>' for _ in range(n))
     para = lambda: rng.choice(["{}", "<p>{}</p>", "<span>{}</span>", "<div>{}</div>", "<p>{}</p><p>{}</p>"]).replace("{}", prose(1, 40))
     nav = lambda: junk(*rng.choice([("nav", ""), ("nav", cls("menu", "navbar")), ("div", cls("nav", "menu", "breadcrumb", "navigation")), ("ul", cls("menu", "nav", "pagination"))]), f"<ul>{links(rng.randint(2, 12))}</ul>" if rng.random() < 0.7 else " &middot; ".join(f'<a href="/">{words(1, 2)}</a>' for _ in range(rng.randint(2, 8))))
