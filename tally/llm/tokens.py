@@ -15,6 +15,9 @@ import os
 import re
 import sys
 from array import array
+from itertools import islice
+
+import numpy as np
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -25,7 +28,9 @@ ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85İ]|<\|")
 PLAIN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,])|[.,](?=[ \n])"
 KEEP_BLANK = re.compile(rf" ?{PLAIN}| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 DROP_BLANK = re.compile(rf"{PLAIN}|[^ \n]+")
-MAX_CHUNKS = 500_000
+#: Chunks that can be encoded in one string and told apart again.
+SIMPLE = re.compile(r"( ?)[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MAX_CHUNKS = 200_000
 MAX_CHUNK_CHARS = 64
 
 
@@ -37,16 +42,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.keep_blank = keep_blank
         self.pattern = KEEP_BLANK if keep_blank else DROP_BLANK
         self.stale = False
         self.seen: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>"))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces that the tokenizer handles independently."""
-        return self.pattern.findall(text)
+    def _simple(self, chunks: list[str]) -> list[bytes]:
+        """Ids of simple chunks, encoded as one text and cut where the bytes of the tokens reach the chunks' ends."""
+        if not chunks:
+            return []
+        if self.keep_blank:
+            raw = "".join(chunks).encode()
+            sizes = [len(c.encode()) for c in chunks]
+            ids = np.array(self.tok.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids, "<u4")
+        else:
+            sizes = [len(c.lower().encode()) for c in chunks]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        reach, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)
+        cut = np.searchsorted(reach, ends)
+        if not (reach.size and cut[-1] == reach.size - 1 and (reach[np.minimum(cut, reach.size - 1)] == ends).all()):
+            return self._whole(chunks)
+        raw, at = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes value per text."""
@@ -54,22 +78,38 @@ class Encoder:
         if self.stale:
             seen.clear()
             self.stale = False
-        parts = [None if ODD.search(t) else self.pattern.findall(t) for t in texts]
-        own: set[str] = set().union(*(p for p in parts if p))
-        missing = list(own.difference(seen))
+        parts = [self.pattern.findall(t if self.keep_blank else lower(t)) for t in texts]
+        got = [list(map(seen.get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(g) if v is None] if None in g else () for g in got]
+        missing = {p[i] for p, own in zip(parts, gaps, strict=True) for i in own}
+        found: dict[str, bytes | None] = {}
         if missing:
-            seen.update(zip(missing, self._whole(missing), strict=True))
-        out = [self._whole([t])[0] if p is None else b"".join(map(seen.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-        if (n := len(seen) - MAX_CHUNKS) > 0:
-            self.stale = 2 * len(missing) > len(own)  # another kind of text: start anew
-            for c in missing[-n:]:
-                del seen[c]
-        for c in missing:
-            if len(c) > MAX_CHUNK_CHARS:
-                seen.pop(c, None)
+            blank = " " if self.keep_blank else ""
+            simple = [c for c in missing if (m := SIMPLE.fullmatch(c)) and m[1] == blank]
+            found.update(zip(simple, self._simple(simple), strict=True))
+            other = [c for c in missing if c not in found]
+            plain = [c for c in other if not ODD.search(c)]
+            found.update(zip(plain, self._whole(plain), strict=True))
+            room = MAX_CHUNKS - len(seen)
+            seen.update(islice(((c, v) for c, v in found.items() if len(c) <= MAX_CHUNK_CHARS), max(0, room)))
+            self.stale = room < 0.1 * MAX_CHUNKS and 4 * sum(map(len, gaps)) > sum(map(len, parts))  # another kind of text
+        out = []
+        for text, p, g, own in zip(texts, parts, got, gaps, strict=True):
+            for i in own:
+                g[i] = found.get(p[i])
+            out.append(self._whole([text])[0] if own and None in g else b"".join(g))
         return out
 
 
+def lower(text: str) -> str:
+    """Lower case, as the word-level tokenizer gives it anyway, where that is simple: the texts of Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _made: dict[tuple[str, bool], Encoder] = {}
 
 
