@@ -35,7 +35,7 @@ ORC = {
     "orc.stripe.size": str(32 << 20),
     "compression": "zstd",
 }
-ROWS = "part int, doc_no long, doc_id long, block int, n_tokens long, file_start long, ids array<int>"
+ROWS = "part int, doc_no long, doc_id long, block int, blocks int, n_tokens long, file_start long, ids array<int>"
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bool = False, block: int = BLOCK) -> DataFrame:
@@ -50,13 +50,13 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bo
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 own = b.slice(lo, 256)
-                rows: list[list] = [[] for _ in range(5)]
+                rows: list[list] = [[] for _ in range(6)]
                 ids, sizes = [], []
                 for doc_id, raw in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
                     x = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).view("<i4")
                     for k in range(0, x.size, block):
                         piece = x[k : k + block]
-                        for c, v in zip(rows, (doc_no, doc_id, k // block, x.size, at), strict=True):
+                        for c, v in zip(rows, (doc_no, doc_id, k // block, -(-x.size // block), x.size, at), strict=True):
                             c.append(v)
                         ids.append(piece)
                         sizes.append(piece.size)
@@ -64,10 +64,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bo
                     doc_no += 1
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 cols = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
                 part_col = pa.array(np.full(len(sizes), part, np.int32))
-                yield pa.RecordBatch.from_arrays([part_col, *cols, lists], ["part", "doc_no", "doc_id", "block", "n_tokens", "file_start", "ids"])
+                yield pa.RecordBatch.from_arrays([part_col, *cols, lists], ["part", "doc_no", "doc_id", "block", "blocks", "n_tokens", "file_start", "ids"])
 
     return dealt.mapInArrow(run, ROWS)
 
@@ -112,8 +112,8 @@ def digests(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), (*head, crc), strict=True))], schema=OUT)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    whole = rows.where("block = 0 AND n_tokens = size(ids)").select(*narrow).mapInArrow(run, schema)
-    long = rows.where("block > 0 OR n_tokens <> size(ids)").select(*narrow)
+    whole = rows.where("blocks = 1").select(*narrow).mapInArrow(run, schema)
+    long = rows.where("blocks > 1").select(*narrow)
     return whole.union(long.repartition("part", "doc_no").sortWithinPartitions("part", "doc_no", "block").mapInArrow(gather, schema))
 
 

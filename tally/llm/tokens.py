@@ -29,8 +29,8 @@ PLAIN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,])|[.,](?=[ \n])"
 KEEP_BLANK = re.compile(rf" ?{PLAIN}| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 DROP_BLANK = re.compile(rf"{PLAIN}|[^ \n]+")
 #: Chunks that can be encoded in one string and told apart again.
-SIMPLE = re.compile(r"( ?)[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MAX_CHUNKS = 200_000
+SIMPLE = re.compile(r"( ?)[!-~¡-ÿ]+")
+MAX_CHUNKS = 300_000
 MAX_CHUNK_CHARS = 64
 
 
@@ -85,7 +85,7 @@ class Encoder:
         found: dict[str, bytes | None] = {}
         if missing:
             blank = " " if self.keep_blank else ""
-            simple = [c for c in missing if (m := SIMPLE.fullmatch(c)) and m[1] == blank]
+            simple = [c for c in missing if (m := SIMPLE.fullmatch(c)) and m[1] == blank and "<|" not in c]
             found.update(zip(simple, self._simple(simple), strict=True))
             other = [c for c in missing if c not in found]
             plain = [c for c in other if not ODD.search(c)]
