@@ -27,6 +27,8 @@ from tally.llm.tokens import encoder
 
 BLOCK = 65_536
 END_ID = 1
+#: Chunks that a worker remembers.
+CHUNKS = 500_000
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -46,7 +48,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bo
     dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at, doc_no = encoder(tokenizer, keep_blank), TaskContext.get().partitionId(), 0, 0
+        enc, part, at, doc_no = encoder(tokenizer, keep_blank, CHUNKS), TaskContext.get().partitionId(), 0, 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 own = b.slice(lo, 256)

@@ -37,7 +37,7 @@ MAX_CHUNK_CHARS = 64
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers, ready for checksums and files."""
 
-    def __init__(self, path: str, keep_blank: bool):
+    def __init__(self, path: str, keep_blank: bool, most: int = MAX_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,6 +45,7 @@ class Encoder:
         self.keep_blank = keep_blank
         self.pattern = KEEP_BLANK if keep_blank else DROP_BLANK
         self.stale = False
+        self.most = most
         self.seen: dict[str, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -90,9 +91,9 @@ class Encoder:
             other = [c for c in missing if c not in found]
             plain = [c for c in other if not ODD.search(c)]
             found.update(zip(plain, self._whole(plain), strict=True))
-            room = MAX_CHUNKS - len(seen)
+            room = self.most - len(seen)
             seen.update(islice(((c, v) for c, v in found.items() if len(c) <= MAX_CHUNK_CHARS), max(0, room)))
-            self.stale = room < 0.1 * MAX_CHUNKS and 4 * sum(map(len, gaps)) > sum(map(len, parts))  # another kind of text
+            self.stale = room < 0.1 * self.most and 4 * sum(map(len, gaps)) > sum(map(len, parts))  # another kind of text
         out = []
         for text, p, g, own in zip(texts, parts, got, gaps, strict=True):
             for i in own:
@@ -113,9 +114,9 @@ def lower(text: str) -> str:
 _made: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keep_blank: bool) -> Encoder:
-    """One per Python worker."""
+def encoder(path: str, keep_blank: bool, most: int = MAX_CHUNKS) -> Encoder:
+    """One per Python worker; it remembers `most` chunks (about 200 bytes each)."""
     key = (path, keep_blank)
     if key not in _made:
-        _made[key] = Encoder(path, keep_blank)
+        _made[key] = Encoder(path, keep_blank, most)
     return _made[key]
