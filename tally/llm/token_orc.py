@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tally.llm.tokens import encoder
+from tally.llm.tokens import TEXTS, encoder
 
 BLOCK = 65_536
 END_ID = 1
@@ -50,8 +50,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bo
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at, doc_no = encoder(tokenizer, keep_blank, CHUNKS), TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                own = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, TEXTS):
+                own = b.slice(lo, TEXTS)
                 rows: list[list] = [[] for _ in range(6)]
                 ids, sizes = [], []
                 for doc_id, raw in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):

@@ -32,6 +32,8 @@ DROP_BLANK = re.compile(rf"{PLAIN}|[^ \n]+")
 SIMPLE = re.compile(r"( ?)[!-~¡-ÿ]+")
 MAX_CHUNKS = 300_000
 MAX_CHUNK_CHARS = 64
+#: Texts to encode at once: what a processor's cache holds.
+TEXTS = 32
 
 
 class Encoder:
@@ -45,6 +47,7 @@ class Encoder:
         self.keep_blank = keep_blank
         self.pattern = KEEP_BLANK if keep_blank else DROP_BLANK
         self.stale = False
+        self.met = self.gaps = 0
         self.most = most
         self.seen: dict[str, bytes] = {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -93,7 +96,11 @@ class Encoder:
             found.update(zip(plain, self._whole(plain), strict=True))
             room = self.most - len(seen)
             seen.update(islice(((c, v) for c, v in found.items() if len(c) <= MAX_CHUNK_CHARS), max(0, room)))
-            self.stale = room < 0.1 * self.most and 4 * sum(map(len, gaps)) > sum(map(len, parts))  # another kind of text
+            self.gaps += sum(map(len, gaps))
+        self.met += sum(map(len, parts))
+        if self.met > self.most:
+            self.stale = len(seen) >= 0.9 * self.most and 4 * self.gaps > self.met  # another kind of text by now
+            self.met = self.gaps = 0
         out = []
         for text, p, g, own in zip(texts, parts, got, gaps, strict=True):
             for i in own:
