@@ -28,7 +28,7 @@ from tally.llm.tokens import TEXTS, encoder
 BLOCK = 65_536
 END_ID = 1
 #: Chunks that a worker remembers.
-CHUNKS = 500_000
+CHUNKS = 1_000_000
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
