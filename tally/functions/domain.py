@@ -119,9 +119,15 @@ def receives(amount: Column, rate: Column, from_scale: Column, to_scale: Column)
     Only powers of ten divide, so digits are dropped from the product's text; decimal division would round.
     """
     unscaled, scale = rate_parts(rate)
-    product = F.regexp_replace((amount.cast("decimal(19,0)") * unscaled.cast("decimal(18,0)")).cast("string"), r"\.0*$", "")
+    product = (amount.cast("decimal(19,0)") * unscaled.cast("decimal(18,0)")).cast("decimal(38,0)").cast("string")
     drop = scale + from_scale - to_scale
     more = F.concat(product, F.repeat(F.lit("0"), F.greatest(-drop, F.lit(0))))
-    kept = F.when(drop >= F.length(more), F.lit("0")).when(drop > 0, F.left(more, F.length(more) - drop)).otherwise(more)
-    lost = F.when(drop > 0, F.right(more, drop)).otherwise(F.lit(""))
-    return F.struct(kept.try_cast(AMOUNT).alias("amount"), (~lost.rlike("[1-9]")).alias("exact"))
+
+    def cut(x: Column) -> Column:
+        d, m = x["d"], x["m"]
+        kept = F.when(d >= F.length(m), F.lit("0")).when(d > 0, F.left(m, F.length(m) - d)).otherwise(m)
+        lost = F.when(d > 0, F.right(m, d)).otherwise(F.lit(""))
+        return F.struct(kept.try_cast(AMOUNT).alias("amount"), (~lost.rlike("[1-9]")).alias("exact"))
+
+    # one element, so that the product is worked out once
+    return F.transform(F.array(F.struct(drop.alias("d"), more.alias("m"))), cut)[0]
