@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tally.llm.tokens import TEXTS, encoder
 
 BLOCK = 65_536
+#: Ids to hand over at once, in bytes.
+BATCH_BYTES = 4 << 20
 END_ID = 1
 #: Chunks that a worker remembers.
 CHUNKS = 1_000_000
@@ -48,28 +50,34 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, keep_blank: bo
     dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at, doc_no = encoder(tokenizer, keep_blank, CHUNKS), TaskContext.get().partitionId(), 0, 0
+        enc, part, at, doc_no, end = encoder(tokenizer, keep_blank, CHUNKS), TaskContext.get().partitionId(), 0, 0, end_id.to_bytes(4, "little")
+        rows: list[tuple] = []
+        ids: list[bytes] = []
+
+        def ready() -> pa.RecordBatch:
+            sizes = [len(x) // 4 for x in ids]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), *cols, lists], ["part", "doc_no", "doc_id", "block", "blocks", "n_tokens", "file_start", "ids"])
+
         for b in batches:
             for lo in range(0, b.num_rows, TEXTS):
                 own = b.slice(lo, TEXTS)
-                rows: list[list] = [[] for _ in range(6)]
-                ids, sizes = [], []
                 for doc_id, raw in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
-                    x = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).view("<i4")
-                    for k in range(0, x.size, block):
-                        piece = x[k : k + block]
-                        for c, v in zip(rows, (doc_no, doc_id, k // block, -(-x.size // block), x.size, at), strict=True):
-                            c.append(v)
-                        ids.append(piece)
-                        sizes.append(piece.size)
-                    at += x.size
+                    raw += end
+                    n = len(raw) // 4
+                    blocks = -(-n // block)
+                    for k in range(blocks):
+                        rows.append((doc_no, doc_id, k, blocks, n, at))
+                        ids.append(raw if blocks == 1 else raw[4 * k * block : 4 * (k + 1) * block])
+                    at += n
                     doc_no += 1
-                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                cols = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
-                part_col = pa.array(np.full(len(sizes), part, np.int32))
-                yield pa.RecordBatch.from_arrays([part_col, *cols, lists], ["part", "doc_no", "doc_id", "block", "blocks", "n_tokens", "file_start", "ids"])
+                if sum(map(len, ids)) > BATCH_BYTES:
+                    yield ready()
+                    rows.clear(), ids.clear()
+        if rows:
+            yield ready()
 
     return dealt.mapInArrow(run, ROWS)
 
