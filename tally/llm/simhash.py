@@ -17,7 +17,8 @@ random priorities (expected logarithmically many), each round's edges written to
 
 Defined results: null text or no words: fingerprint zero, linked like any other. Null doc_id: the row stays, and counts
 for component_id only if no other member has an id. Repeated rows: one result row each. Empty table: no rows. Further
-columns are ignored.
+columns are ignored. `keep_one` tells documents apart by doc_id and text, so of two components whose first rows share a
+doc_id, or have none, each keeps its own; all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import publish
+from tally.llm.common import fresh, publish
 
 RADIUS = 4
 SEGMENTS = 32
@@ -65,15 +66,20 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): one row per row of docs; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): one row per row of docs; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [signed(fingerprint(t.as_py(), shingle, seed)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [signed(fingerprint(t.as_py(), shingle, seed)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -251,21 +257,32 @@ def components(edges: DataFrame) -> DataFrame:
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, groups: int | None = None, limit: int = MAX_CELL) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+def classes(docs: DataFrame, shingle: int = 4, seed: int = 42, groups: int | None = None, limit: int = MAX_CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fingerprints of docs; (fp, root) of the distinct ones; (root, first) of the components.
+
+    first is a component's first row by doc_id (nulls last), then the text's hash: struct(none, doc_id, text_hash).
+    """
     fps = publish(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = publish(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = links(distinct, groups or groups_for(distinct.count()), limit)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = publish(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    edges = links(distinct.select("fp"), groups or groups_for(distinct.count()), limit)
     named = components(edges)
-    of = distinct.join(named, distinct["fp"] == named["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = publish(of.join(least, "root").select("fp", "component_id"), "components")
+    of = distinct.join(named, distinct["fp"] == named["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return fps, of.select("fp", "root"), of.groupBy("root").agg(F.min("first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links. Options as of `classes`."""
+    fps, of, firsts = classes(docs, **kw)
+    ids = publish(of.join(firsts, "root").select("fp", F.col("first.doc_id").alias("component_id")), "components")
     return fps.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (of repeated rows, one). All columns stay."""
     names = docs.columns
-    kept = near_duplicates(docs, **kw).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*names)
+    own_id, own_hash = fresh(docs, "_id", "_hash")
+    firsts = classes(docs, **kw)[2].select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_keep_hash"))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias(own_id), text_hash(F.col("text")).alias(own_hash))
+    kept = rows.join(firsts, rows[own_id].eqNullSafe(firsts["_keep"]) & (rows[own_hash] == firsts["_keep_hash"]), "left_semi")
+    return kept.dropDuplicates([own_id, own_hash]).select(*names)
