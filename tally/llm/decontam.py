@@ -18,6 +18,7 @@ as null beside the hash of its text. Empty tables: no rows. Further columns are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,6 +51,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
         self.ids: list[int] = []
+        self.texts: list[str] = []
         self.words: list[np.ndarray] = []
         keys, at = [], []
         for item_id, text in rows:
@@ -61,6 +63,7 @@ class Items:
             keys.append(k)
             at += [(len(self.ids), i) for i in range(k.size)]
             self.ids.append(item_id)
+            self.texts.append(text)
             self.words.append(x)
         keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -94,18 +97,22 @@ def grams(x: np.ndarray) -> np.ndarray:
 
 
 def on_line(hits: np.ndarray) -> int:
-    """The most different seeds whose offsets (document minus item) differ by SLACK at most."""
+    """The most different seeds whose offsets (document minus item) differ by SLACK at most, counted up to MIN_LINE."""
     off, places = hits[:, 2] - hits[:, 1], hits[:, 1]
     order = np.argsort(off, kind="stable")
-    off, places = off[order], places[order]
-    ends = np.searchsorted(off, off + SLACK, "right")
-    best, last = 0, -1
-    for i in np.argsort(np.arange(off.size) - ends, kind="stable"):
-        if ends[i] - i <= best:
-            break
-        best = max(best, np.unique(places[i : ends[i]]).size)
-        if best >= MIN_LINE or (last := last + 1) > 64:
+    off, places = off[order], places[order].tolist()
+    held: Counter[int] = Counter()
+    best = end = 0
+    for i, to in enumerate(np.searchsorted(off, off + SLACK, "right").tolist()):
+        while end < to and best < MIN_LINE:
+            held[places[end]] += 1
+            end += 1
+            best = max(best, len(held))
+        if best >= MIN_LINE:
             break
+        held[places[i]] -= 1
+        if not held[places[i]]:
+            del held[places[i]]
     return best
 
 
@@ -165,12 +172,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         shared = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # slice_bytes of text, give or take
 
         def find(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, texts = Items(sorted(shared.value)), dict(sorted(shared.value))
+            known = Items(sorted(shared.value))
             for b in batches:
                 rows: list[list] = [[] for _ in range(7)]
                 for i, t in enumerate(b.column(2)):
                     for item, seeds, line, words, first in passages(known, t.as_py()):
-                        for c, v in zip(rows, (i, known.ids[item], texts[known.ids[item]], seeds, line, words, first), strict=True):
+                        for c, v in zip(rows, (i, known.ids[item], known.texts[item], seeds, line, words, first), strict=True):
                             c.append(v)
                 at = pa.array(rows[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
