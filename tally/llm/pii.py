@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import bind, publish
+from tally.llm.common import bind, fresh, publish
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL = "A-Za-z0-9._%+-"
@@ -168,9 +168,11 @@ def masked(text: Column, spans: Column) -> Column:
 def mask(docs: DataFrame, **kw) -> DataFrame:
     """The documents with personal data masked; n_chars, where there is one, follows the text."""
     names = docs.columns
-    spans = found(docs, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
-    same = docs["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["_hash"])
-    out = docs.join(spans, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"))))
+    own_id, own_hash, own = fresh(docs, "_id", "_hash", "_spans")
+    spans = found(docs, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("spans").alias(own)).dropDuplicates([own_id, own_hash])
+    same = docs["doc_id"].cast("long").eqNullSafe(spans[own_id]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans[own_hash])
+    clean = F.col(own).isNull()
+    out = docs.join(spans, same, "left").withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col(own))))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)

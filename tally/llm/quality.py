@@ -23,6 +23,10 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Columns that the operator makes; they win clashes of names.
+OWN = ("doc_id", "_text", "_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+
+
 def count_chars(text: Column, chars: str) -> Column:
     """How often any of these ASCII characters stands in a text."""
     n = F.octet_length(text)
@@ -59,7 +63,7 @@ def dup_lines(text: Column) -> tuple[Column, Column]:
 
 def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` and doc_id, _text, and the measures, all long."""
-    keep = [c for c in keep or [] if c not in ("doc_id", "_text", "_words")]
+    keep = [c for c in keep or [] if c not in OWN]
     own = [F.col(c) for c in keep]
     text = F.col("_text")
     base = docs.select("doc_id", *own, F.coalesce("text", F.lit("")).alias("_text"))
