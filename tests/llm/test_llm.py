@@ -75,6 +75,23 @@ def test_alignment_is_smith_waterman():
         assert decontam.align(np.array(a), np.array(b))[0] == pytest.approx(max(map(max, h)))
 
 
+def test_line_of_seeds_is_exact():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 200)
+        hits = np.array([(0, rng.randint(0, 3), rng.randint(0, 900), 0) for _ in range(n)])
+        off = hits[:, 2] - hits[:, 1]
+        most = max(len(set(hits[(off >= o) & (off <= o + decontam.SLACK), 1])) for o in off)
+        assert decontam.on_line(hits) == min(most, decontam.MIN_LINE)
+
+
+def test_items_of_one_id(spark):
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    bench = spark.createDataFrame([(1, one), (1, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.score) for r in decontam.contaminated(docs, bench).collect()) == [(1, 1.0), (2, 1.0)]
+
+
 # 2
 
 
@@ -126,6 +143,9 @@ def test_quality(odd, empty):
     assert quality.judged(empty).count() == 0
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
+    clash = odd.withColumns({"n_words": F.lit("x"), "kept": F.lit(7)})
+    assert quality.judged(clash, ["n_words", "kept", "lang"]).where("kept").count() == kept.count()
+    assert quality.keep_good(clash).columns == clash.columns
 
 
 def test_quality_order(odd):
@@ -226,6 +246,8 @@ def test_pii(spark, odd, empty):
     assert pii.found(odd).count() == odd.count() and pii.found(empty).count() == 0
     masked = pii.mask(odd)
     assert masked.columns == odd.columns and masked.count() == odd.count()
+    clash = spark.createDataFrame([(1, "me: a@b.cd", 2, "s", 3)], "doc_id long, text string, _id int, _spans string, _Hash int")
+    assert [tuple(r) for r in pii.mask(clash).collect()] == [(1, "me: <EMAIL>", 2, "s", 3)]
 
 
 def test_pii_bootstrap(spark):
@@ -301,6 +323,21 @@ def test_near_duplicates(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     assert {7, 1} <= {r.doc_id for r in kept.collect()} and kept.where("doc_id = 7").count() == 1 and kept.where("doc_id IN (1, 2, 3)").count() == 1
+    assert kept.where("doc_id IS NULL").count() == 2
+    assert kept.count() == len({root[slow(t)] for _, t in rows})
+
+
+def test_keep_one_without_ids(spark):
+    """Documents are told apart by id and text; columns with the names that the operator would use stay."""
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    rows = [(None, a), (None, a), (None, b), (5, b), (9, c), (9, a + " x"), (3, c)]
+    df = spark.createDataFrame([(d, t, 1, "h", k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, _id int, _HASH string, first int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    root = brute_components([simhash.fingerprint(t) for _, t in rows])
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len({root[simhash.fingerprint(t)] for _, t in rows}) and (3, c) in got and (5, b) in got
 
 
 # 7
