@@ -49,6 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        if forget := getattr(self.tok.model, "_resize_cache", None):
+            forget(0)  # chunks reach the model once, so a cache of its own only costs
         self.keep_blank = keep_blank
         self.pattern = KEEP_BLANK if keep_blank else DROP_BLANK
         self.stale = False
