@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tally.llm import decontam, packing, pii, quality, simhash
+from tally.llm import decontam, jaccard, packing, pii, quality, simhash
 from tally.llm.common import publish, table
 from tally.llm.queries import tokenizer
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: 5-word shingles of similarity 0.8, or SimHash links."""
+    return simhash.keep_one(docs, more=jaccard.links(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

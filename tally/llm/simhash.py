@@ -257,15 +257,20 @@ def components(edges: DataFrame) -> DataFrame:
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(docs: DataFrame, shingle: int = 4, seed: int = 42, groups: int | None = None, limit: int = MAX_CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes(docs: DataFrame, shingle: int = 4, seed: int = 42, groups: int | None = None, limit: int = MAX_CELL, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The fingerprints of docs; (fp, root) of the distinct ones; (root, first) of the components.
 
+    more: further links (a, b) among texts, by their `text_hash`.
     first is a component's first row by doc_id (nulls last), then the text's hash: struct(none, doc_id, text_hash).
     """
     fps = publish(fingerprints(docs, shingle, seed), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = publish(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
     edges = links(distinct.select("fp"), groups or groups_for(distinct.count()), limit)
+    if more is not None:
+        of = fps.select("text_hash", "fp").distinct()
+        end = lambda c: of.select(F.col("text_hash").alias(c), F.col("fp").alias(f"{c}_fp"))
+        edges = edges.union(more.join(end("a"), "a").join(end("b"), "b").select("a_fp", "b_fp"))
     named = components(edges)
     of = distinct.join(named, distinct["fp"] == named["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return fps, of.select("fp", "root"), of.groupBy("root").agg(F.min("first").alias("first"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tally.llm import chat, decontam, hilbert, hostgraph, html_main, packing, pii, quality, queries, simhash, token_orc
+from tally.llm import chat, decontam, hilbert, hostgraph, html_main, jaccard, packing, pii, quality, queries, simhash, token_orc
 from tally.llm.tokens import Encoder
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, _words string, shard int"
@@ -340,6 +340,49 @@ def test_keep_one_without_ids(spark):
     assert len(got) == len({root[simhash.fingerprint(t)] for _, t in rows}) and (3, c) in got and (5, b) in got
 
 
+@pytest.mark.parametrize("limit", [jaccard.MAX_GROUP, 4])
+def test_jaccard_links(spark, empty, limit):
+    """What word shingles of similarity 0.8 connect, by brute force, and the pipeline's stage on the same texts."""
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    rows = ["", None, "two words", "Two  WORDS", "a b c d e", "a b c d e f"]
+    for _ in range(12):
+        own = [f"w{rng.randrange(400)}" for _ in range(rng.choice([8, 30, 120, 300]))]
+        for k in range(8):
+            rows.append(" ".join(w if rng.random() > k / 200 else f"x{rng.randrange(10**6)}" for w in own))
+        rows.append(" ".join(own + [f"y{rng.randrange(900)}" for _ in range(len(own) // 4)]))
+    line = " ".join(f"line{i}" for i in range(12))
+    rows += [f"{line} {' '.join(f'z{rng.randrange(10**6)}' for _ in range(40))}" for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, fps = [grams(t) for t in rows], [simhash.fingerprint(t) for t in rows]
+    near = lambda i, j: len(sets[i] | sets[j]) > 0 and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+
+    def roots(link):
+        up = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if link(i, j):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        return up
+
+    hashes = [r.h for r in df.orderBy("doc_id").select(simhash.text_hash(F.col("text")).alias("h")).collect()]
+    edges = {frozenset((r.a, r.b)) for r in jaccard.links(df, limit).collect()}
+    got = roots(lambda i, j: hashes[i] == hashes[j] or frozenset((hashes[i], hashes[j])) in edges)
+    assert got == roots(lambda i, j: hashes[i] == hashes[j] or near(i, j))
+    assert any(near(i, j) and (fps[i] ^ fps[j]).bit_count() > 4 for i in range(len(rows)) for j in range(i))
+    if limit > 4:
+        want = roots(lambda i, j: near(i, j) or (fps[i] ^ fps[j]).bit_count() <= 4)
+        assert sorted(r.doc_id for r in p.near_dedup(spark, df, "").collect()) == sorted(set(want))
+        assert p.near_dedup(spark, empty, "").count() == 0
+
+
 # 7
 
 
