@@ -32,7 +32,6 @@ WINDOW = 1024
 END_ID = 0
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 SHARD_BITS = 20
 #: Chunks that a worker remembers.
@@ -61,17 +60,17 @@ class Index:
         self.idf = idf
 
     def neighbours(self, i: int) -> np.ndarray:
-        """Documents that share a term of weight with document i, best first; its QUERY_TERMS rarest shared terms ask."""
+        """Documents that share a term of weight with document i, best first; all of its terms ask."""
         t = self.term[self.term_at[i] : self.term_at[i + 1]]
-        w = self.idf[t]
-        t = t[(w > 0) & (self.at[t + 1] - self.at[t] > 1)]
-        if t.size > QUERY_TERMS:
-            t = t[np.argsort(-self.idf[t], kind="stable")[:QUERY_TERMS]]
+        n = self.at[t + 1] - self.at[t]
+        use = (self.idf[t] > 0) & (n > 1)
+        t, n = t[use], n[use]
         if not t.size:
             return t
-        own = np.concatenate([np.arange(self.at[x], self.at[x + 1]) for x in t])
-        docs, inverse = np.unique(self.of[own], return_inverse=True)
-        return docs[np.argsort(-np.bincount(inverse, self.weight[own]), kind="stable")]
+        own = np.repeat(self.at[t] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        score = np.bincount(self.of[own], self.weight[own])
+        docs = np.flatnonzero(score)
+        return docs[np.argsort(-score[docs], kind="stable")]
 
 
 def pack_shard(sizes: list[int], index: Index, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:

@@ -216,6 +216,25 @@ def test_neighbours_are_bm25():
     assert packing.Index(docs).neighbours(3).tolist() == []
 
 
+def test_neighbours_of_long_documents():
+    """All terms count: documents of hundreds of words against BM25 term by term."""
+    rng = random.Random(31)
+    vocab = [f"w{i}" for i in range(1500)]
+    docs = [rng.choices(vocab, [1 / (i + 5) for i in range(1500)], k=rng.randint(200, 500)) for _ in range(60)]
+    index, mean = packing.Index(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(w for d in docs for w in set(d))
+    for i in range(0, 60, 7):
+        score = {}
+        for j, d in enumerate(docs):
+            tf = Counter(d)
+            s = sum(max(0, np.log((60 - df[w] + 0.5) / (df[w] + 0.5))) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for w in set(docs[i]) if tf[w] and df[w] > 1)
+            if s > 0:
+                score[j] = s
+        got = index.neighbours(i).tolist()
+        assert set(got) == set(score)
+        assert [score[j] for j in got] == pytest.approx(sorted(score.values(), reverse=True))
+
+
 # 5
 
 
