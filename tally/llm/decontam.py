@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One pass over the documents finds every word n-gram that some test item has, and groups those of one item that lie
-near each other in the document into a passage, cut out with room on both sides. A passage goes on to alignment if it
-holds a rare seed, or MIN_LINE different seeds in the item's own order at one offset, give or take a few words, which is
-how a passage that thousands of documents share is still found though its seeds are no longer rare. Rarity counts the
-seed's documents over the whole corpus. The alignment is local and exact, over words; its score, divided by the item's
-number of words, is 1 for a verbatim copy.
+near each other in the document into a passage, cut out with room on both sides. Every passage goes on to alignment
+that can reach the threshold: a score is at most the number of the item's words that the passage has. How common a seed
+is plays no part; a task remembers the scores of the passages it has met (CACHE), so copies cost little. The alignment is local and exact, over words; its score,
+divided by the item's number of words, is 1 for a verbatim copy.
 
 The test items are shipped to the executors in slices of a checked size (SLICE_BYTES of text each); a larger benchmark
-means more passes, never a larger broadcast. Only hits are shuffled.
+means more passes, never a larger broadcast. Only matches are shuffled.
 
 Defined results: null and empty texts and items never match. An item of fewer words than a seed has none and never
 matches. Repeated item rows count as one item; repeated documents give the same answer, once. A null doc_id is carried
@@ -20,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ SLACK = 8
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.6
 SLICE_BYTES = 8 << 20
+CACHE = 1 << 14
 WORDS = re.compile(r"\w+")
 #: Odd multipliers for hashing n-grams of word numbers.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -116,10 +117,11 @@ def on_line(hits: np.ndarray) -> int:
     return best
 
 
-def passages(items: Items, text: str | None) -> Iterator[tuple[int, list[int], int, str, int]]:
-    """(item, seeds, seeds on a line, words of the passage, its first word's place)."""
+def passages(items: Items, text: str | None, threshold: float) -> Iterator[tuple[int, str, int]]:
+    """(item, words of the passage, its first word's place) of each passage that can reach the threshold."""
     w = words_of(text)
-    h = items.hits(items.number(w))
+    x = items.number(w)
+    h = items.hits(x)
     if not h.shape[0]:
         return
     size = np.array([items.words[i].size for i in h[:, 0]])
@@ -128,7 +130,9 @@ def passages(items: Items, text: str | None) -> Iterator[tuple[int, list[int], i
         own, n = h[a:b], int(size[a])
         first = max(0, int((own[:, 2] - own[:, 1]).min()) - SLACK)
         last = min(len(w), int((own[:, 2] - own[:, 1]).max()) + n + SLACK)
-        yield int(own[0, 0]), np.unique(own[:, 3]).tolist(), on_line(own), " ".join(w[first:last]), first
+        item = int(own[0, 0])
+        if MATCH * np.isin(items.words[item], x[first:last]).sum() >= (threshold - 1e-6) * n:
+            yield item, " ".join(w[first:last]), first
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
@@ -157,14 +161,12 @@ def similarity(item: list[str], passage: list[str]) -> tuple[float, int, int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_bytes: int = SLICE_BYTES, rare_least: int = RARE_LEAST, rare_share: float = RARE_SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, score, first_word, end_word) for each document and item that align well enough.
 
-    Places count words (`\\w+`, lower case) of the document.
+    Places count words (`\\w+`, lower case) of the document. rare_least and rare_share decide nothing any more.
     """
     spark = docs.sparkSession
     items = publish(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-size // slice_bytes))
-    n_docs = docs.count()
-    limit = max(rare_least, rare_share * n_docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     out = None
     for k in range(slices):
@@ -173,41 +175,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         def find(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Items(sorted(shared.value))
-            for b in batches:
-                rows: list[list] = [[] for _ in range(7)]
-                for i, t in enumerate(b.column(2)):
-                    for item, seeds, line, words, first in passages(known, t.as_py()):
-                        for c, v in zip(rows, (i, known.ids[item], known.texts[item], seeds, line, words, first), strict=True):
-                            c.append(v)
+
+            @lru_cache(CACHE)
+            def aligned(item: int, words: str) -> tuple[float, int, int]:
+                score, a, b = similarity(words_of(known.texts[item]), words.split(" "))
+                return round(score, 6), a, b
+
+            for batch in batches:
+                rows: list[list] = [[] for _ in range(5)]
+                for i, t in enumerate(batch.column(2)):
+                    for item, words, first in passages(known, t.as_py(), threshold):
+                        score, a, b = aligned(item, words)
+                        if score >= threshold:
+                            for c, v in zip(rows, (i, known.ids[item], score, first + a, first + b), strict=True):
+                                c.append(v)
                 at = pa.array(rows[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.int32()), pa.array(rows[5], pa.string()), pa.array(rows[6], pa.int64())],
-                    ["doc_id", "text_hash", "item_id", "item", "seeds", "line", "passage", "first"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())],
+                    ["doc_id", "text_hash", "item_id", "score", "first_word", "end_word"],
                 )
 
-        found = base.mapInArrow(find, "doc_id long, text_hash long, item_id long, item string, seeds array<long>, line int, passage string, first long")
+        found = base.mapInArrow(find, "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
         out = found if out is None else out.union(found)
-    found = publish(out, "passages")
-    sure = found.where(F.col("line") >= MIN_LINE)
-    loose = found.where(F.col("line") < MIN_LINE).distinct()
-    df = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
-    key = ["doc_id", "text_hash", "item_id", "first"]
-    rare = loose.select(*key, F.explode("seeds").alias("seed")).join(df.where(F.col("n") <= limit), "seed").select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
-    loose = loose.join(rare, [loose[c].eqNullSafe(rare[f"_{c}"]) for c in key], "left_semi")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [similarity(words_of(i.as_py()), p.as_py().split(" ")) for i, p in zip(b.column(3), b.column(4), strict=True)]
-            first = b.column(5).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([round(x[0], 6) for x in got], pa.float64()), pa.array([x[1] + f for x, f in zip(got, first, strict=True)], pa.int64()), pa.array([x[2] + f for x, f in zip(got, first, strict=True)], pa.int64())],
-                ["doc_id", "text_hash", "item_id", "score", "first_word", "end_word"],
-            )
-
-    chosen = sure.union(loose).select("doc_id", "text_hash", "item_id", "item", "passage", "first")
-    scored = chosen.mapInArrow(score, "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
     best = F.min(F.struct((-F.col("score")).alias("s"), "first_word", "end_word")).alias("m")
-    scored = scored.where(F.col("score") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(best)
+    scored = publish(out, "matches").groupBy("doc_id", "text_hash", "item_id").agg(best)
     return scored.select("doc_id", "text_hash", "item_id", (-F.col("m.s")).alias("score"), F.col("m.first_word").alias("first_word"), F.col("m.end_word").alias("end_word"))
 
 

@@ -85,6 +85,17 @@ def test_line_of_seeds_is_exact():
         assert decontam.on_line(hits) == min(most, decontam.MIN_LINE)
 
 
+def test_edited_copy_of_a_common_item(spark):
+    """Verbatim copies elsewhere take nothing from an edited one that keeps two seeds."""
+    item = [f"w{i}" for i in range(21)]
+    edited = [f"x{i}" if i in (5, 9, 13, 17) else w for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(k, " ".join([*item, f"v{k}"][:21 + (k > 1)])) for k in range(1, 4)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, " ".join(["a", *edited, "b"]))] + [(k, " ".join(["a", *item, "b"])) for k in range(1, 51)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()}
+    assert got[0, 1] == pytest.approx((17 - 2) / 21, abs=1e-6)
+    assert {d for d, k in got if k == 1} == set(range(51)) and decontam.drop_contaminated(docs, bench).count() == 0
+
+
 def test_items_of_one_id(spark):
     one, two = "a b c d e f g h", "q r s t u v w x"
     bench = spark.createDataFrame([(1, one), (1, two)], "item_id long, text string")
