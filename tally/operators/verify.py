@@ -142,6 +142,22 @@ def summary(checks: dict[str, tuple[Callable[[], DataFrame], Callable[[], DataFr
     return reduce(DataFrame.union, rows)
 
 
+def whole_book(tx: DataFrame, moves: DataFrame, volumes: DataFrame, stored: DataFrame, accounts: DataFrame, logs: DataFrame) -> dict[str, tuple[Callable[[], DataFrame], Callable[[], DataFrame]]]:
+    """The six checks of a whole book, for `summary`; stored: moves with their stored effective volumes.
+
+    The log is checked for hashes and gaps; the projection for volumes, and for transactions that are not in the log.
+    """
+    one = lambda df: df.select(F.lit(1))
+    return {
+        "conservation": (lambda: conservation(volumes).where("drift <> 0"), lambda: conservation(volumes)),
+        "log": (lambda: one(log_hashes(logs)).union(one(log_gaps(logs))), lambda: logs),
+        "projection": (lambda: one(projection(volumes, book.account_volumes(moves))).union(one(logged(tx, logs))), lambda: volumes),
+        "effective_volumes": (lambda: effective_volumes(stored, moves), lambda: moves),
+        "balance_permissions": (lambda: balance_permissions(volumes), lambda: volumes),
+        "closed_accounts": (lambda: closed_accounts(accounts, volumes), lambda: accounts.where("closed")),
+    }
+
+
 def last_runs(runs: DataFrame) -> DataFrame:
     """The last run of each check."""
     return runs.groupBy("check_name").agg(F.max("ran_at").alias("ran_at"), F.max_by("ok", "ran_at").alias("ok"))

@@ -126,6 +126,18 @@ def test_chain_and_tampering(spark):
     assert verify.log_gaps(told.withColumn("type", F.when(F.col("id") == 4, "RECOVERY").otherwise(F.col("type")))).count() == 0
 
 
+def test_whole_book_sees_every_fault(spark, sf):
+    f = Fixture(spark, sf)
+    own = {"tx": f.tx, "moves": f.moves, "volumes": f.volumes, "stored": book.with_pcev(f.moves), "accounts": f.accounts.where("NOT closed"), "logs": f.logs}
+    bad = lambda names, **kw: {r.check_name for r in verify.summary({k: v for k, v in verify.whole_book(**own | kw).items() if k in names}).collect() if not r.ok}
+    assert bad(["effective_volumes"], stored=own["stored"].withColumn("pcev_input", F.col("pcev_input") + 1)) == {"effective_volumes"}
+    assert bad(["balance_permissions"], volumes=f.volumes.withColumn("allow_positive", F.lit(False))) == {"balance_permissions"}
+    kept = f.logs.where("id <> 50")
+    assert bad(["projection"], logs=kept) == {"projection"}
+    again = journal.chained(f.log_rows.where("id <> 50"))  # no hash is wrong
+    assert bad(["log"], logs=again) == {"log"}
+
+
 def test_sweep(spark):
     p = [("w", "x", 100, True), ("w", "y", None, True), ("y", "z", 5, False)]
     df = spark.createDataFrame([(p, {"w": 130})], "p array<struct<source:string,destination:string,amount:long,up_to:boolean>>, m map<string,long>")
