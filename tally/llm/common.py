@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of two or three longs that a join may broadcast (about 20 MB).
+MAX_BROADCAST = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +57,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def publish(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage is cut, and a lost executor loses nothing.
 
-    The table belongs to whoever owns the folder; results that are read lazily still need it.
+    The table belongs to whoever owns the folder; results that are read lazily still need it. `discard` deletes those
+    that nothing reads any more.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._published = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes published tables; anything else is left alone."""
+    for t in tables:
+        path = None if t is None else t.__dict__.pop("_published", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def short(keys: DataFrame) -> DataFrame:
+    """A published table of ids and hashes, to be broadcast if it is counted to have MAX_BROADCAST rows at most.
+
+    A longer one is joined by whatever the planner chooses, in the end by sorting both sides.
+    """
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
 
 
 def bind(value: Column, body) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import publish
+from tally.llm.common import publish, short
 from tally.llm.simhash import components, text_hash
 
 SHINGLE = 5
@@ -147,7 +147,7 @@ def links(docs: DataFrame, limit: int = MAX_GROUP) -> DataFrame:
     groups = components(cells.join(first, "token").select(F.col("h").alias("a"), "b").distinct())
     size = groups.groupBy("root").agg(F.ceil(F.count("*") / max(1, limit // 2)).alias("k"), F.count("*").alias("m"))
     groups = groups.join(size, "root").withColumn("k", F.when(F.col("m") <= limit, 1).otherwise(F.col("k")))
-    texts = rows.join(publish(groups.select(F.col("node").alias("h"), "root", "k"), "groups"), "h").dropDuplicates(["h"])
+    texts = rows.join(short(publish(groups.select(F.col("node").alias("h"), "root", "k"), "groups")), "h").dropDuplicates(["h"])
     texts = texts.withColumn("own", F.pmod(F.xxhash64("h"), "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     texts = texts.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "h", "text")
     return texts.groupBy("root", "x", "y").applyInArrow(linked, "a long, b long").distinct()

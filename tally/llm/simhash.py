@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import fresh, publish
+from tally.llm.common import discard, fresh, publish, short
 
 RADIUS = 4
 SEGMENTS = 32
@@ -248,10 +248,13 @@ def components(edges: DataFrame) -> DataFrame:
         if names is None:
             names = to
         else:
-            names = names.withColumnRenamed("root", "old").join(go("old"), "old", "left").select("node", F.coalesce("old_to", "old").alias("root"))
-        names = publish(names, "names") if k else names
+            before, named = names, names.withColumnRenamed("root", "old").join(go("old"), "old", "left")
+            names = publish(named.select("node", F.coalesce("old_to", "old").alias("root")), "names")
+            discard(before)
+        before = edges
         edges = edges.join(go("a"), "a").join(go("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
         edges = publish(edges.where("a <> b").distinct(), "edges")
+        discard(before, None if names is to else to)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return names if names is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -284,10 +287,24 @@ def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (of repeated rows, one). All columns stay."""
+    """One document of each component: the one with the smallest doc_id (of repeated rows, one). All columns stay.
+
+    Texts are shuffled only where a kept row is repeated, or if the list of what goes is too long to be broadcast.
+    """
     names = docs.columns
     own_id, own_hash = fresh(docs, "_id", "_hash")
-    firsts = classes(docs, **kw)[2].select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_keep_hash"))
+    fps, _, firsts = classes(docs, **kw)
+    firsts = firsts.select(F.col("first.doc_id").alias("_keep"), F.col("first.text_hash").alias("_keep_hash"))
+    keys = fps.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.count("*").alias("_n"))
+    keys = keys.join(firsts, keys[own_id].eqNullSafe(firsts["_keep"]) & (keys[own_hash] == firsts["_keep_hash"]), "left")
+    keys = keys.select(own_id, own_hash, F.col("_keep_hash").isNotNull().alias("_first"), "_n").where("NOT _first OR _n > 1")
+    keys = publish(keys, "copies")
     rows = docs.select("*", F.col("doc_id").cast("long").alias(own_id), text_hash(F.col("text")).alias(own_hash))
-    kept = rows.join(firsts, rows[own_id].eqNullSafe(firsts["_keep"]) & (rows[own_hash] == firsts["_keep_hash"]), "left_semi")
-    return kept.dropDuplicates([own_id, own_hash]).select(*names)
+    match = lambda k: rows[own_id].eqNullSafe(k[own_id]) & (rows[own_hash] == k[own_hash])
+    slim = short(keys.select(own_id, own_hash))
+    kept = rows.join(slim, match(slim), "left_anti")
+    again = keys.where("_first").select(own_id, own_hash)
+    if not again.isEmpty():
+        again = short(again)
+        kept = kept.union(rows.join(again, match(again), "left_semi").dropDuplicates([own_id, own_hash]))
+    return kept.select(*names)
