@@ -78,12 +78,12 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def short(keys: DataFrame) -> DataFrame:
-    """A published table of ids and hashes, to be broadcast if it is counted to have MAX_BROADCAST rows at most.
+def short(keys: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """A published table of ids and hashes, to be broadcast if it is counted to have `most` rows at most.
 
     A longer one is joined by whatever the planner chooses, in the end by sorting both sides.
     """
-    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def bind(value: Column, body) -> Column:
