@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import MAX_BROADCAST, SPACE, bind, discard, fresh, publish
+from tally.llm.common import MAX_BROADCAST, SPACE, bind, discard, fresh, publish, short
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SECRET = 4
@@ -267,17 +267,11 @@ def found(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENC
     new = open_.where(looks(F.col("k"), F.col("value"))).groupBy("text_hash", "start", "end", "value").agg(best).select("text_hash", span(F.col("k")))
     new = new.groupBy("text_hash", "span.start", "span.end").agg(F.min("span").alias("span"))
     new = publish(new.groupBy("text_hash").agg(F.array_sort(F.collect_list("span")).alias("new")), "learnt")
-    both = rows.join(listing(new), "text_hash", "left")
+    both = rows.join(short(new, MAX_BROADCAST // 8), "text_hash", "left")
     spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "new")))
     return both.select("doc_id", "text_hash", "base", spans.alias("spans"))
 
 
-def listing(spans: DataFrame) -> DataFrame:
-    """A published table of lists of spans, to be broadcast if it is counted to be small (an eighth as many rows as of
-    ids alone)."""
-    return F.broadcast(spans) if spans.count() <= MAX_BROADCAST // 8 else spans
-
-
 def listed(spans: Column) -> Column:
     """kind:start:end by start, then kind, joined by commas."""
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
