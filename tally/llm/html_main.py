@@ -10,7 +10,8 @@ The trees are fitted here, on TRAIN_PAGES pages of a generator of page layouts w
 documented sample; fixed seed), with histogram splits and logistic loss.
 
 Defined results: null html counts as empty; no main text gives an empty string. A page that the parser finds no tag in
-is text of its own and kept. Unclosed and stray tags are tolerated. Null page_id or url are carried. Repeated rows: one
+is text of its own and kept. Unclosed and stray tags are tolerated: an unclosed script, style, iframe, textarea or xmp
+holds all that follows, any other element ends with its parent. Reading takes linear time, whatever is left open. Null page_id or url are carried. Repeated rows: one
 result row each. Empty table: no rows. Further columns are ignored.
 """
 
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 1000
 TREES, DEPTH, RATE, BINS, L2, MIN_HESSIAN = 40, 4, 0.3, 32, 1.0, 2.0
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+OPEN = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN = re.compile(r"<([a-zA-Z][^\s/>]*+)([^>]*+)>")
+END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
+QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'|[<\"']")
 ATTR = re.compile(r"(?:class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 LABEL = re.compile(r"data-y\s*=\s*\"?([01])", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe textarea template svg xmp".split())
-NEVER = RAW | frozenset("head title button select option datalist object audio video canvas".split())
+RAW = frozenset("script style iframe textarea xmp".split())
+NEVER = RAW | frozenset("noscript template svg head title button select option datalist object audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img input".split())
 #: A start tag of the first kind ends an open element of the second.
 P_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -76,6 +80,41 @@ N_KIND, N_SIGN = len(TAG_KINDS), len(TOKENS)
 MARKS = re.compile(r"[.,;:!?]")
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str | None, str | None, str]]:
+    """(start, end, name of an end tag, name of a start tag, attributes) of each tag and comment, in linear time.
+
+    An attribute's quotes may hold a `>`. Where they never close, the tag ends at the first `>`; all `<` that were met
+    outside quotes on the way to the source's end would fare the same, and are remembered. A tag without any `>` is text.
+    """
+    at, last, doomed = 0, source.rfind(">"), set()
+    while (i := source.find("<", at)) >= 0:
+        c = source[i + 1 : i + 2]
+        if c in ("!", "?"):
+            mark = "-->" if source.startswith("<!--", i) else ">"
+            j = source.find(mark, i + 4 if mark == "-->" else i)
+            at = j + len(mark) if j >= 0 else len(source)
+            yield i, at, None, None, ""
+            continue
+        m = None
+        if i < last and c == "/":
+            m = END.match(source, i)
+        elif i < last and c.isascii() and c.isalpha():
+            m = None if i in doomed else OPEN.match(source, i)
+            if not m:
+                if i not in doomed:
+                    for q in QUOTED.finditer(source, i):
+                        if q[0] == "<":
+                            doomed.add(q.start())
+                        elif len(q[0]) == 1:
+                            break
+                m = PLAIN.match(source, i)
+        if not m:
+            at = i + 1
+            continue
+        at = m.end()
+        yield (i, at, m[1], None, "") if c == "/" else (i, at, None, m[1], m[2])
+
+
 class Page:
     """Blocks of a page in document order, and its runs of text.
 
@@ -89,9 +128,10 @@ class Page:
         self.runs: list[tuple[int, str | None]] = []
         self.links: list[int] = [0]
         stack: list[tuple[str, int]] = [("html", 0)]  # every open element and its block
+        blocks = [0]  # places in the stack of what is not inline
         open_: dict[str, int] = {"html": 1}
         dead = links = 0  # open elements that never count, open anchors
-        at, n = 0, len(source)
+        at = skip = 0
 
         def pop_to(k: int) -> None:
             nonlocal dead, links
@@ -101,21 +141,24 @@ class Page:
                 open_[t] -= 1
                 dead -= t in NEVER
                 links -= t == "a"
-                block |= t not in INLINE
+                if t not in INLINE:
+                    block = True
+                    blocks.pop()
             if block:
                 self.runs.append((stack[-1][1], None))
 
-        while at < n:
-            m = TAG.search(source, at)
-            text = source[at : m.start() if m else n]
+        def say(text: str) -> None:
             if text and not dead:
                 self.runs.append((stack[-1][1], text))
                 if links:
                     self.links[stack[-1][1]] += len(text)
-            if not m:
-                break
-            at = m.end()
-            if end := m[1]:
+
+        for start, after, end, tag, attrs in tags(source):
+            if start < skip:
+                continue
+            say(source[at:start])
+            at = after
+            if end:
                 end = end.lower()
                 if open_.get(end, 0) and len(stack) > 1:
                     k = len(stack) - 1
@@ -124,39 +167,36 @@ class Page:
                     if k:
                         pop_to(k)
                 continue
-            tag = m[2] or m[4]
             if not tag:
                 continue
-            tag, attrs = tag.lower(), (m[3] if m[2] else m[5]) or ""
+            tag = tag.lower()
             if tag in VOID:
                 self.runs.append((stack[-1][1], " " if tag != "hr" else None)) if not dead else None
                 continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}[\s>/]", re.I).search(source, at)
-                if not close:
+                if not close:  # what follows is all of its text
+                    at = skip = len(source)
                     break
-                at = source.find(">", close.start()) + 1 or n
+                at = skip = source.find(">", close.start()) + 1 or len(source)
                 continue
-            if tag == "html":
+            if tag == "html" or (tag == "svg" and attrs.endswith("/")):
                 continue
-            if tag in P_ENDS and open_.get("p", 0):
-                k = len(stack) - 1
-                while stack[k][0] != "p" and (stack[k][0] in INLINE):
-                    k -= 1
-                if stack[k][0] == "p":
-                    pop_to(k)
+            if tag in P_ENDS and open_.get("p", 0) and stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
             if tag in LIKE:
-                k = len(stack) - 1
-                while k and (stack[k][0] in INLINE or stack[k][0] == "p"):
-                    k -= 1
-                while k and stack[k][0] in LIKE[tag]:
-                    pop_to(k)
-                    k = len(stack) - 1
+                j = len(blocks) - 1
+                while j and stack[blocks[j]][0] == "p":
+                    j -= 1
+                while j and stack[blocks[j]][0] in LIKE[tag]:
+                    pop_to(blocks[j])
+                    j = len(blocks) - 1
+                    while j and stack[blocks[j]][0] == "p":
+                        j -= 1
             if tag == "body" and open_.get("head", 0):
-                k = next(i for i, s in enumerate(stack) if s[0] == "head")
-                pop_to(k)
+                pop_to(next(i for i, s in enumerate(stack) if s[0] == "head"))
             block = stack[-1][1]
-            if tag not in INLINE and tag not in NEVER:
+            if tag not in INLINE and tag not in NEVER and not dead:
                 self.tags.append(tag)
                 self.parent.append(block)
                 values = [x or y or z for x, y, z in ATTR.findall(attrs)] if attrs else ()
@@ -166,10 +206,13 @@ class Page:
                 self.links.append(0)
                 block = len(self.tags) - 1
                 self.runs.append((block, None))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append((tag, block))
             open_[tag] = open_.get(tag, 0) + 1
             dead += tag in NEVER
             links += tag == "a"
+        say(source[at:])
 
     def features(self) -> np.ndarray:
         n = len(self.tags)
