@@ -7,8 +7,10 @@ conversation is formatted whole. The last segment of a conversation carries whet
 no turn out of order.
 
 The template's marks and the escape character are control strings: inside texts each gets the escape character before
-it, so a mark in the output is never text, and removing the escapes gives the text back. `Reader` reads segments or the
-whole output back.
+it, so a mark in the output is never text, and removing the escapes gives the text back. `Reader` reads turns, or the
+whole output in pieces of any size, back.
+
+All turns of a conversation are one task's, as the machine needs their order; they stream, and only a turn is held.
 
 Defined results: null text and null role count as empty. A role without a header of its own is written with the
 template's `other` header, escaped likewise. Turns are ordered by turn (null first), then role, then text; repeated
@@ -110,13 +112,33 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
 
 
 class Reader:
-    """Reads formatted text back, in pieces of any size: (role, text) of each turn as it ends."""
+    """Reads formatted text back: `turn` one turn, `feed` pieces of any size, of which it gives each turn as it ends."""
 
     def __init__(self, template: Template | None = None):
         self.t = template or Template()
         t = self.t
         self.token = re.compile("|".join([re.escape(t.escape) + "(?:" + "|".join(map(re.escape, t.controls())) + ")", re.escape(t.end), re.escape(t.mark)]))
         self.roles = {v: k for k, v in t.names.items()}
+        self.room = len(t.escape) + max(map(len, t.controls())) + len(t.after)
+        self.held, self.at = "", 0
+
+    def feed(self, piece: str, last: bool = False) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that end in this piece; `last` marks the last piece, behind which nothing is open."""
+        self.held += piece
+        safe = len(self.held) - (0 if last else self.room)  # tokens that begin before are whole
+        cut = 0
+        for m in self.token.finditer(self.held, self.at):
+            if m.start() >= safe:
+                break
+            self.at = m.end()
+            if m[0] == self.t.end and self.held.startswith(self.t.after, m.end()):
+                end = m.end() + len(self.t.after)
+                yield self.turn(self.held[cut:end])
+                cut = self.at = end
+        self.at = max(self.at, safe) - cut
+        self.held = self.held[cut:]
+        if last and self.held:
+            raise ValueError("a turn that does not end")
 
     def unquote(self, text: str) -> str:
         e = re.escape(self.t.escape)

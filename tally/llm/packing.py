@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: a sharded BM25 index finds what fills a window.
 
 Documents are indexed in shards that a task holds in memory: up to SHARD_DOCS documents and SHARD_TOKENS ids of the
-rows at hand, without a shuffle (a longer document is a shard of its own, handled in slices). A document's full windows
+rows at hand, without a shuffle (the document that reaches either number ends its shard, however long it is). A document's full windows
 are cut off first, and its rest opens a window: BM25 over the shard's words ranks the unused rests against the words of
 the seed's rest, and they fill the window in that order; the last one is cut where the window ends, and what is left of
 it stays unused. Without related rests, unused ones follow in order, so only a shard's last window can have room left.

@@ -2,8 +2,8 @@
 
 A document's ids stand in rows of at most BLOCK ids, so a very long text is many rows of bounded size. Documents are
 dealt by ranges of doc_id and sorted within, so files, stripes and row groups hold narrow ranges of ids; the min/max
-statistics and the Bloom filters of the index streams let a reader of some documents skip the rest, and any stripe can
-be read on its own. Each row carries its place in its file (`file_start`), and a table of parts (one row per file) the
+statistics and the Bloom filters of the index streams let a reader of some documents (`lookup`) skip the rest, and any
+stripe can be read on its own. Each row carries its place in its file (`file_start`), and a table of parts (one row per file) the
 ids before each file, so reading needs no ordering between stripes.
 
 Defined results: null text counts as empty (it has the end id alone). Null doc_ids come first. Repeated doc_ids are
@@ -101,6 +101,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return ids.join(parts, "part").withColumn("start", F.col("first_id") + F.col("file_start")).drop("first_id")
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of some documents. The ids reach the ORC reader, which skips files and stripes by their ranges, and row
+    groups by ranges and Bloom filters."""
+    return read(spark, path).where(F.col("doc_id").isin([int(x) for x in doc_ids]))
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document of `read`; a document of several rows is put together in order."""
     narrow = ["doc_id", "start", "n_tokens", "part", "doc_no", "block", "ids"]

@@ -2,8 +2,8 @@
 
 Both vocabularies used here split a text before each single blank or newline that has no other white space beside it
 (the byte-level one keeps the blank with the following word, the word-level one drops it), and between a letter and a
-comma or full stop, so a text's ids are the ids
-of such chunks, one after another. Natural text repeats its words, so a table of chunks seen before saves most of the
+comma or full stop, so a text's ids are the ids of such chunks, one after another. A tokenizer file whose normalizer,
+splitter and model settings are not one of these two encodes every text whole, slower and as exactly. Natural text repeats its words, so a table of chunks seen before saves most of the
 work; it is bounded, and emptied when full. Texts with any other white space, or with the opening of a special token,
 go to the tokenizer whole. Special tokens inside texts are ordinary text only if the tokenizer's own default says so:
 ids equal those of ``encode(text, add_special_tokens=False)``.
@@ -11,6 +11,7 @@ ids equal those of ``encode(text, add_special_tokens=False)``.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -35,12 +36,30 @@ LOWER = re.compile(r"[a-zà-öø-ÿ]+")
 #: Byte-level alphabet of the vocabularies: printable bytes stand for themselves, the others for what follows 255.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = "".join(chr(b) if b in PRINTABLE else chr(256 + b - sum(p < b for p in PRINTABLE)) for b in range(256))
+# The settings of the byte-level and the word-level tokenizer whose chunks are known here.
+BYTE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+WORD_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 MAX_CHUNKS = 300_000
 MAX_CHUNK_CHARS = 64
 #: Texts to encode at once: what a processor's cache holds.
 TEXTS = 32
 
 
+def chunks_known(tok, keep_blank: bool) -> bool:
+    """Whether the tokenizer is one whose chunks are known."""
+    own = json.loads(tok.to_str())
+    model = own["model"]
+    split, form, suffix = (BYTE_SPLIT, None, None) if keep_blank else ({"type": "Sequence", "pretokenizers": WORD_SPLIT}, {"type": "Sequence", "normalizers": WORD_FORM}, "</w>")
+    added = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in own["added_tokens"])
+    settings = all(model.get(k) == v for k, v in MODEL.items()) and (model.get("end_of_word_suffix") or None) == suffix
+    return own["pre_tokenizer"] == split and own["normalizer"] == form and own["post_processor"] is None and settings and added
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers, ready for checksums and files."""
 
@@ -51,6 +70,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         if forget := getattr(self.tok.model, "_resize_cache", None):
             forget(0)  # chunks reach the model once, so a cache of its own only costs
+        self.known = chunks_known(self.tok, keep_blank)
         self.keep_blank = keep_blank
         self.pattern = KEEP_BLANK if keep_blank else DROP_BLANK
         self.stale = False
@@ -85,6 +105,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes value per text."""
+        if not self.known:
+            return self._whole(texts)
         seen = self.seen
         if self.stale:
             seen.clear()
