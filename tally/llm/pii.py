@@ -191,10 +191,11 @@ def mentioned(rows: DataFrame) -> DataFrame:
     own = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["k"].alias("k"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
     unit = lambda u: F.struct(u["start"].alias("start"), (u["start"] + F.char_length(u["value"])).alias("end"), F.lit(None).cast("int").alias("k"), u["value"].alias("raw"), u["left"].alias("left"), u["right"].alias("right"))
     both = texts.select("text_hash", F.inline(F.concat(F.transform("base", own), F.transform("units", unit))))
-    w = Window.partitionBy("text_hash").orderBy("start")
+    # Both frames grow from their first row: one that shrinks would be summed anew for every row.
+    so_far = lambda *order: Window.partitionBy("text_hash").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     base = F.col("k").isNotNull()
-    before = F.max(F.when(base, F.struct("end", "k"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    behind = F.min(F.when(base, F.struct("start", "k"))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.max(F.when(base, F.struct("end", "k"))).over(so_far("start"))
+    behind = F.min(F.when(base, F.struct("start", "k"))).over(so_far(F.desc("start")))
     both = both.withColumns({"_before": before, "_behind": behind}).where("k IS NULL")
     kind = F.when(F.col("_before.end") > F.col("start"), F.col("_before.k")).when(F.col("_behind.start") < F.col("end"), F.col("_behind.k")).otherwise(-1)
     value = F.regexp_replace(F.regexp_replace("raw", rf"^{EDGE}", ""), f"{EDGE}$", "")
