@@ -142,7 +142,7 @@ class Page:
                 dead -= t in NEVER
                 links -= t == "a"
                 if t not in INLINE:
-                    block = True
+                    block |= t != "svg" and (t in NEVER or own != stack[-1][1])
                     blocks.pop()
             if block:
                 self.runs.append((stack[-1][1], None))
