@@ -28,15 +28,17 @@ def out_of() -> Column:
 
 def numbered(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
     """Gapless numbers from 1 per `by`, in `order` (a long), without sorting a `by` in one task."""
-    return running_sums(df, [by], [order], {name: F.lit(1).cast("long")}, F.expr(f"{order} DIV {SPAN}"))
+    return running_sums(df, [by], [order], {name: F.lit(1).cast("long")}, F.expr(f"{order} DIV {SPAN}"), F.expr(f"{order} DIV {SPAN * SPAN}"))
 
 
-def moves_of(tx: DataFrame) -> DataFrame:
-    """Two moves per posting, in order."""
+def moves_of(tx: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """Two moves per posting, in order. A transaction of more than stride / 2 postings is an error: a greater stride, the
+    same for all transactions of a book, has room for it."""
     p = tx.select("ledger", "tx_id", "k", F.col("eff").alias("effective_date"), F.col("ins").alias("insertion_date"), F.posexplode("postings").alias("p", "x"))
     sides = F.inline(F.array(F.struct(F.col("x.source").alias("address"), F.lit(True).alias("is_source")), F.struct(F.col("x.destination").alias("address"), F.lit(False).alias("is_source"))))
     m = p.select("ledger", "tx_id", "k", F.col("p").cast("long").alias("p"), "effective_date", "insertion_date", F.col("x.asset").alias("asset"), F.col("x.amount").alias("amount"), sides)
-    return m.withColumn("seq", F.col("k") * STRIDE + F.col("p") * 2 + F.when(F.col("is_source"), 0).otherwise(1))
+    place = F.when(2 * F.col("p") < stride, F.col("p") * 2).otherwise(F.raise_error(F.lit(f"a transaction of more than {stride // 2} postings")).cast("long"))
+    return m.withColumn("seq", F.col("k") * stride + place + F.when(F.col("is_source"), 0).otherwise(1))
 
 
 def volume_updates(moves: DataFrame) -> DataFrame:
@@ -45,12 +47,17 @@ def volume_updates(moves: DataFrame) -> DataFrame:
 
 def with_pcv(moves: DataFrame) -> DataFrame:
     """Volumes after each move, in the order of insertion."""
-    return running_sums(moves, KEY, ["seq"], {"pcv_input": into(), "pcv_output": out_of()}, F.expr(f"seq DIV {SPAN * STRIDE}"))
+    return running_sums(moves, KEY, ["seq"], {"pcv_input": into(), "pcv_output": out_of()}, F.expr(f"seq DIV {SPAN * STRIDE}"), F.expr(f"seq DIV {SPAN * SPAN * STRIDE}"))
 
 
 def with_pcev(moves: DataFrame) -> DataFrame:
-    """Volumes after each move, in the order of effect; of equal dates the earlier inserted comes first."""
-    return running_sums(moves, KEY, ["effective_date", "seq"], {"pcev_input": into(), "pcev_output": out_of()}, F.date_trunc("month", F.col("effective_date")))
+    """Volumes after each move, in the order of effect; of equal dates the earlier inserted comes first.
+
+    Buckets: moves of one date that were inserted near each other, then hours, then months.
+    """
+    at = F.col("effective_date")
+    one = F.struct(at.alias("at"), F.expr(f"seq DIV {SPAN * STRIDE}").alias("run"))
+    return running_sums(moves, KEY, ["effective_date", "seq"], {"pcev_input": into(), "pcev_output": out_of()}, one, F.date_trunc("hour", at), F.date_trunc("month", at))
 
 
 def account_volumes(moves: DataFrame) -> DataFrame:
@@ -69,7 +76,10 @@ def volumes_asof(moves: DataFrame, at: str) -> DataFrame:
 
 
 def snapshots_asof(pcev: DataFrame, at: str) -> DataFrame:
-    """The same from stored snapshots: the last move not after the date."""
+    """The same from stored snapshots: the last move not after the date.
+
+    Snapshots that are worked out on the way need only the moves up to the date.
+    """
     last = F.max_by(F.struct("pcev_input", "pcev_output"), F.struct("effective_date", "seq")).alias("v")
     out = pcev.where(F.col("effective_date") <= F.lit(at).cast("timestamp_ntz")).groupBy(*KEY).agg(last)
     return out.select(*KEY, F.col("v.pcev_input").alias("input"), F.col("v.pcev_output").alias("output"))

@@ -45,7 +45,7 @@ def crossings(moves: DataFrame) -> DataFrame:
     Balances are judged at the end of a transaction, in the order of insertion; within one they may pass through zero.
     """
     delta = moves.where(f"NOT ({UNBOUNDED})").groupBy("ledger", "tx_id", "address", "asset").agg(F.sum(F.when(F.col("is_source"), -F.col("amount")).otherwise(F.col("amount"))).alias("d"))
-    run = running_sums(delta, ["ledger", "address", "asset"], ["tx_id"], {"balance": F.col("d")}, F.expr("tx_id DIV 4096"))
+    run = running_sums(delta, ["ledger", "address", "asset"], ["tx_id"], {"balance": F.col("d")}, F.expr("tx_id DIV 4096"), F.expr("tx_id DIV 16777216"))
     return run.where("balance < 0").select("ledger", "tx_id", "address", "asset", "balance")
 
 
@@ -76,7 +76,7 @@ def applied(submissions: DataFrame) -> DataFrame:
     kinds = "ledger string, arrival long, source string, destination string, asset string, amount long, idem_key string, content string, outcome string"
     folded = folded.mapInArrow(_fold, kinds)
     out = parallel.select(*cols, "outcome").unionByName(folded).unionByName(rows.where("fault IS NOT NULL").select(*cols, F.col("fault").alias("outcome")))
-    ids = running_sums(out.where("outcome = 'accepted'").select("ledger", "arrival"), ["ledger"], ["arrival"], {"tx_id": F.lit(1).cast("long")}, F.expr("arrival DIV 4096"))
+    ids = running_sums(out.where("outcome = 'accepted'").select("ledger", "arrival"), ["ledger"], ["arrival"], {"tx_id": F.lit(1).cast("long")}, F.expr("arrival DIV 4096"), F.expr("arrival DIV 16777216"))
     return out.join(ids, ["ledger", "arrival"], "left").drop("content")
 
 

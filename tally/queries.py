@@ -47,7 +47,7 @@ SQL = {
       UNION ALL SELECT ledger, 'alpha', 'G' || k, 'GHOST-' || k, asset, a, 'in', ins FROM tx WHERE st = 'O' AND k % 50 = 0
       UNION ALL SELECT ledger, 'beta', ext_ref, ext_ref, asset, CAST(sum(a - a // 400) AS BIGINT) + CASE WHEN (k // 500) % 4 = 0 THEN 1 ELSE 0 END, 'out', max(ins) FROM tx WHERE st = 'F' AND k % 5 = 0 GROUP BY ledger, ext_ref, asset, k // 500)""",
     "cand": """cand AS (SELECT r.ledger, r.source, r.record_id, r.reference, r.amount, t.tx_id, m.seq, m.amount AS move_amount FROM rec r
-      JOIN tx t ON t.ledger = r.ledger AND (t.reference = r.reference OR t.ext_ref = r.reference)
+      JOIN (SELECT ledger, tx_id, reference AS ref FROM tx UNION SELECT ledger, tx_id, ext_ref FROM tx WHERE ext_ref IS NOT NULL) t ON t.ledger = r.ledger AND t.ref = r.reference
       JOIN moves m ON m.ledger = t.ledger AND m.tx_id = t.tx_id AND m.asset = r.asset AND starts_with(m.address, 'external:') AND (r.direction IS NULL OR (r.direction = 'in') = m.is_source))""",
     "pairs": """pairs AS (SELECT *, amount - move_amount AS variance FROM (SELECT *, row_number() OVER (PARTITION BY ledger, source, seq ORDER BY record_id) AS pick FROM
       (SELECT *, count(*) OVER (PARTITION BY ledger, source, record_id) AS n FROM cand) WHERE n = 1) WHERE pick = 1)""",
@@ -149,7 +149,7 @@ def balances_asof(f):
 
 @query(f"SELECT ledger, address, asset, pcev_input AS input, pcev_output AS output FROM (SELECT *, row_number() OVER (PARTITION BY ledger, address, asset ORDER BY effective_date DESC, seq DESC) AS n FROM pcev WHERE effective_date <= TIMESTAMP '{AT}') WHERE n = 1", "pcev")
 def effective_volumes_asof(f):
-    return book.snapshots_asof(book.with_pcev(f.moves), AT)
+    return book.snapshots_asof(book.with_pcev(f.moves.where(F.col("effective_date") <= F.lit(AT).cast("timestamp_ntz"))), AT)
 
 
 @query(f"SELECT a.ledger, a.address, a.asset, a.input, a.output, e.input AS effective_input, e.output AS effective_output, u.first_usage FROM volumes a LEFT JOIN ({ASOF}) e USING (ledger, address, asset) JOIN (SELECT ledger, address, min(effective_date) AS first_usage FROM moves GROUP BY ALL) u ON u.ledger = a.ledger AND u.address = a.address WHERE a.ledger = 'main' AND starts_with(a.address, 'customers:1')", "volumes")
