@@ -131,3 +131,45 @@ def receives(amount: Column, rate: Column, from_scale: Column, to_scale: Column)
 
     # one element, so that the product is worked out once
     return F.transform(F.array(F.struct(drop.alias("d"), more.alias("m"))), cut)[0]
+
+
+def has_up_to(p: Column) -> Column:
+    """Whether any posting is a ceiling."""
+    return F.exists(p, lambda x: F.coalesce(x["up_to"], F.lit(False)))
+
+
+def merged(old: Column, new: Column) -> Column:
+    """Maps joined; the new value of a key wins."""
+    keep = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return F.map_concat(keep, new)
+
+
+def without_key(m: Column, key: str) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
+def holds(m: Column, part: Column) -> Column:
+    """Whether a map has all entries of another."""
+    return F.forall(F.map_entries(part), lambda e: F.coalesce(F.element_at(m, e["key"]) == e["value"], F.lit(False)))
+
+
+def tagged(m: Column, key: str, value: Column) -> Column:
+    """The metadata with the batch's tag."""
+    return merged(m, F.create_map(F.lit(key), value))
+
+
+def tip_parts(tip: Column) -> Column:
+    """struct(ledger, id, hash in lower-case hex) of a tip's text, or null."""
+    parts = F.split(tip, ":")
+    raw = F.translate(F.element_at(parts, 3), "-_", "+/")
+    ok = tip.rlike(r"^[^:]+:[0-9]{1,18}:[A-Za-z0-9_-]{43}\z")
+    return F.when(ok, F.struct(F.element_at(parts, 1).alias("ledger"), F.element_at(parts, 2).try_cast("long").alias("id"), F.lower(F.hex(F.unbase64(F.concat(raw, F.lit("="))))).alias("hash")))
+
+
+MAX_DETAIL = 4000
+
+
+def short_detail(detail: Column) -> Column:
+    """A check's detail, cut where it is too long; empty is null."""
+    cut = F.concat(F.left(detail, F.lit(MAX_DETAIL)), F.lit("... (truncated)"))
+    return F.when(detail != "", F.when(F.char_length(detail) > MAX_DETAIL, cut).otherwise(detail))

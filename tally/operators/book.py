@@ -93,8 +93,8 @@ def last_activity(moves: DataFrame) -> DataFrame:
     return moves.groupBy(*KEY).agg(F.max("insertion_date").alias("last_at"))
 
 
-def page(df: DataFrame, order: list[str], after: tuple | None = None, limit: int = 25) -> DataFrame:
-    """A keyset page: the `limit` rows behind the position `after` in `order`. Limits run from 1 to 100."""
+def page(df: DataFrame, order: list[str], after: tuple | None = None, limit: int = 25, more: int = 0) -> DataFrame:
+    """A keyset page: the `limit` rows behind the position `after` in `order`, and `more`. Limits run from 1 to 100."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
     if after is not None:
@@ -105,7 +105,7 @@ def page(df: DataFrame, order: list[str], after: tuple | None = None, limit: int
                 same = same & (F.col(d) == F.lit(w).cast(df.schema[d].dataType))
             past = past | (same & (F.col(c) > F.lit(v).cast(df.schema[c].dataType)))
         df = df.where(past)
-    return df.orderBy(*order).limit(limit)
+    return df.orderBy(*order).limit(limit + more)
 
 
 def statement(moves: DataFrame, ledger: str, address: str, start: str, end: str, asset: str | None = None) -> DataFrame:

@@ -161,3 +161,46 @@ def whole_book(tx: DataFrame, moves: DataFrame, volumes: DataFrame, stored: Data
 def last_runs(runs: DataFrame) -> DataFrame:
     """The last run of each check."""
     return runs.groupBy("check_name").agg(F.max("ran_at").alias("ran_at"), F.max_by("ok", "ran_at").alias("ok"))
+
+
+def overdue(runs: DataFrame, checks: list[str], now: str, max_age: str) -> DataFrame:
+    """(check_name, finding): checks whose last run is older than `max_age` (as in `2 days`), failed, or was never."""
+    names = runs.sparkSession.createDataFrame([(c,) for c in checks], "check_name string")
+    rows = names.join(last_runs(runs), "check_name", "left")
+    oldest = F.expr(f"TIMESTAMP_NTZ '{now}' - INTERVAL {max_age}")
+    finding = F.when(F.col("ran_at").isNull(), "never run").when(F.col("ran_at") < oldest, "too old").when(~F.col("ok"), "failed")
+    return rows.select("check_name", finding.alias("finding")).where("finding IS NOT NULL")
+
+
+def record(results: DataFrame, path: str, ran_at: str) -> None:
+    """Appends a run's rows (check_name, checked, findings, ok, and detail if there is one); nothing is overwritten."""
+    detail = domain.short_detail(F.col("detail")) if "detail" in results.columns else F.lit(None).cast("string")
+    rows = results.select("check_name", F.lit(ran_at).cast("timestamp_ntz").alias("ran_at"), "checked", "findings", "ok", detail.alias("detail"))
+    rows.write.mode("append").parquet(path)
+
+
+def counters(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Ledgers whose last log id went down, or that went away, between two states of the logs."""
+    last = lambda logs, name: logs.groupBy("ledger").agg(F.max("id").alias(name))
+    rows = last(old, "was").join(last(new, "now"), "ledger", "left")
+    return rows.where("now IS NULL OR now < was")
+
+
+def percentiles(samples: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """Percentiles as a sorted sample has them: values that occur, nothing between two."""
+    return samples.groupBy(*by).agg(*(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in at))
+
+
+def converted(tx: DataFrame, tolerance: int = 1) -> DataFrame:
+    """(ledger, tx_id, sold, bought, due) of conversions whose postings are off the rate that their metadata states.
+
+    Metadata keys: rate, from, to. What leaves in the one asset is sold and in the other bought, summed over postings.
+    """
+    m = lambda k: F.element_at("metadata", k)
+    rows = tx.where(F.map_contains_key("metadata", "rate"))
+    total = lambda asset: F.aggregate(F.filter("postings", lambda p: p["asset"] == asset), F.lit(0).cast("long"), lambda a, p: a + p["amount"])
+    bought = F.when(m("from") == m("to"), F.lit(0).cast("long")).otherwise(total(m("to")))
+    rows = rows.select("ledger", "tx_id", total(m("from")).alias("sold"), bought.alias("bought"), m("rate").alias("rate"), m("from").alias("a"), m("to").alias("b"))
+    due = domain.receives(F.col("sold"), F.col("rate"), domain.asset_scale(F.col("a")), domain.asset_scale(F.col("b")))["amount"].cast("long")
+    rows = rows.withColumn("due", due)
+    return rows.where(~F.coalesce(F.abs(F.col("bought") - F.col("due")) <= tolerance, F.lit(False))).select("ledger", "tx_id", "sold", "bought", "due")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.functions import domain
-from tally.operators import book, fx, journal, recon, verify
+from tally.operators import book, commit, fx, journal, recon, verify
 from tally.sources.fixtures import Fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,3 +574,155 @@ def postings_histogram(f):
 def recovery_entries(f):
     marks = f.log_rows.groupBy("ledger").agg((F.max("id") + 10).alias("watermark"))
     return journal.recovery(f.log_rows, marks).select("ledger", "id", "resumed_from", "skipped_through")
+
+
+# The log's data, the whole run, the write path
+
+
+@query("SELECT * FROM volumes", "volumes")
+def replay_log(f):
+    """Volumes from the JSON of the log alone."""
+    return book.account_volumes(book.moves_of(commit.replayed(f.event_log)))
+
+
+FORGED = """forged AS (SELECT ledger, address, asset, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_source), 0) AS BIGINT) AS input, CAST(coalesce(sum(amount) FILTER (WHERE is_source), 0) AS BIGINT) AS output
+  FROM (SELECT ledger, address, asset, is_source, amount + CASE WHEN k % 997 = 0 AND p = 0 THEN 1 ELSE 0 END AS amount FROM moves) GROUP BY ALL)"""
+
+
+@query(f"SELECT v.ledger, v.address, v.asset, 'mismatch' AS finding FROM volumes v JOIN (WITH {FORGED} SELECT * FROM forged) g USING (ledger, address, asset) WHERE v.input <> g.input OR v.output <> g.output", "volumes")
+def verify_projection_log(f):
+    """A log whose entries say one more than the book holds."""
+    first = F.transform(
+        "e.postings",
+        lambda p, i: F.struct(p["source"].alias("source"), p["destination"].alias("destination"), p["asset"].alias("asset"), (p["amount"] + F.when((F.col("k") % 997 == 0) & (i == 0), 1).otherwise(0)).alias("amount"), p["up_to"].alias("up_to")),
+    )
+    entry = F.from_json("data", f"id bigint, postings array<struct<{commit.FIELDS}>>, timestamp timestamp_ntz, reference string")
+    forged = f.event_log.withColumn("e", entry).withColumn("data", F.to_json(F.struct(F.col("e.id").alias("id"), first.alias("postings"), F.col("e.timestamp").alias("timestamp"))))
+    return verify.projection(f.volumes, book.account_volumes(book.moves_of(commit.replayed(forged.select("ledger", "id", "type", "data", "date")))))
+
+
+OWES = "address <> 'world' AND NOT starts_with(address, 'external:') AND input < output"
+RUN = f"""SELECT check_name, CAST(checked AS BIGINT) AS checked, CAST(findings AS BIGINT) AS findings, findings = 0 AS ok FROM (
+  SELECT 'conservation' AS check_name, count(*) AS checked, (SELECT count(*) FROM (SELECT sum(input) - sum(output) AS d FROM volumes GROUP BY ledger, asset) WHERE d <> 0) AS findings FROM (SELECT DISTINCT ledger, asset FROM volumes)
+  UNION ALL SELECT 'log', (SELECT count(*) FROM tx), 0 UNION ALL SELECT 'projection', (SELECT count(*) FROM volumes), 0 UNION ALL SELECT 'effective_volumes', (SELECT count(*) FROM moves), 0
+  UNION ALL SELECT 'balance_permissions', (SELECT count(*) FROM volumes), (SELECT count(*) FROM volumes WHERE {OWES})
+  UNION ALL SELECT 'closed_accounts', (SELECT count(DISTINCT (ledger, address)) FROM volumes WHERE starts_with(address, 'pending:')), (SELECT count(*) FROM volumes WHERE starts_with(address, 'pending:') AND input <> output)
+  UNION ALL SELECT 'conversions', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE CAST(l_suppkey AS BIGINT) % 50 = 0)
+  UNION ALL SELECT 'stale_balances', n, n FROM (SELECT count(*) AS n FROM volumes v JOIN (SELECT ledger, address, asset, max(insertion_date) AS last_at FROM moves GROUP BY ALL) m USING (ledger, address, asset) WHERE starts_with(v.address, 'pending:') AND v.input <> v.output AND m.last_at < TIMESTAMP '{LATE}')
+  UNION ALL SELECT 'reconciliation', (SELECT count(*) FROM rec), (SELECT count(*) FROM rec r WHERE ingested_at < TIMESTAMP '{LATE}' AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.ledger = r.ledger AND h.source = r.source AND h.record_id = r.record_id)))"""
+
+
+@query(RUN, "volumes", "hits")
+def verify_run(f):
+    """The whole run: six checks of the book and three on request, each over whole tables."""
+    stored = book.with_pcev(f.moves)
+    checks = verify.whole_book(f.tx, f.moves, f.volumes, stored, f.accounts, f.logs)
+    replay = lambda: book.account_volumes(book.moves_of(commit.replayed(f.event_log)))
+    one = lambda df: df.select(F.lit(1))
+    checks["projection"] = (lambda: one(verify.projection(f.volumes, replay())).union(one(verify.logged(f.tx, f.event_log))), lambda: f.volumes)
+    checks["conversions"] = (lambda: verify_conversions(f), lambda: f.conversions)
+    checks["stale_balances"] = (lambda: stale_balances(f), lambda: stale_balances(f))
+    checks["reconciliation"] = (lambda: recon_unmatched(f), lambda: f.recon_records)
+    return verify.summary(checks)
+
+
+@query("SELECT check_name, 'never run' AS finding FROM (SELECT 'ghost' AS check_name) UNION ALL SELECT check_name, CASE WHEN ran_at < TIMESTAMP '1998-08-01 00:00:00' THEN 'too old' ELSE 'failed' END FROM (SELECT o_orderpriority AS check_name, max(o_orderdate + to_seconds(o_orderkey)) AS ran_at, arg_max(o_orderkey % 3 = 0, o_orderdate + to_seconds(o_orderkey)) AS ok FROM orders GROUP BY ALL) WHERE ran_at < TIMESTAMP '1998-08-01 00:00:00' OR NOT ok")
+def verify_overdue(f):
+    runs = f.table("orders").select(F.col("o_orderpriority").alias("check_name"), F.expr("timestampadd(SECOND, CAST(o_orderkey AS INT), CAST(o_orderdate AS TIMESTAMP_NTZ))").alias("ran_at"), (F.col("o_orderkey") % 3 == 0).alias("ok"))
+    names = sorted(r[0] for r in runs.select("check_name").distinct().collect())
+    return verify.overdue(runs, [*names, "ghost"], "1998-08-03 00:00:00", "2 days")
+
+
+COMMIT = """WITH own AS (SELECT ledger, k, CASE WHEN k % 3 = 0 THEN k // 12 END AS batch, CASE WHEN ledger = 'eu' AND asset = 'BTC/8' THEN 'unknown asset' WHEN st <> 'P' AND ck % 20 = 0 OR st = 'P' AND k % 3 <> 0 AND ck % 20 = 0 THEN 'account closed' ELSE 'accepted' END AS fault FROM tx),
+  own2 AS (SELECT *, bool_or(fault <> 'accepted') OVER (PARTITION BY ledger, batch) AS bad FROM own)
+  SELECT ledger, outcome, count(*) AS n FROM (SELECT ledger, CASE WHEN batch IS NOT NULL AND bad AND fault = 'accepted' THEN 'batch refused' ELSE fault END AS outcome FROM own2) GROUP BY ALL"""
+
+
+def _committed(f: Fixture, rows: DataFrame) -> DataFrame:
+    accounts = f.tx.select("ledger", F.concat(F.lit("customers:"), F.col("ck").cast("string"), F.lit(":wallet")).alias("address"), (F.col("ck") % 20 == 0).alias("closed")).distinct()
+    free = F.col("address").startswith("external:")
+    policies = f.moves.where(free).select("ledger", "address", "asset").distinct().withColumns({"allow_negative": F.lit(True), "allow_positive": F.lit(True)})
+    return commit.committed(rows, accounts, policies, f.assets, f.moves.limit(0).select("ledger", "address", "asset", F.lit(0).alias("input"), F.lit(0).alias("output")))
+
+
+@query(f"SELECT * FROM ({COMMIT})", "tx")
+def commit_outcomes(f):
+    """Submissions of several postings under closed accounts, the registry and batches; no key and no reference repeats."""
+    rows = f.commits.withColumns({"reference": F.lit(None).cast("string"), "idem_key": F.lit(None).cast("string")})
+    return _committed(f, rows).groupBy("ledger", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT ledger, k AS arrival, tx_id, CASE WHEN k % 7 = 0 THEN 'already reverted' ELSE 'accepted' END AS outcome, CASE WHEN k % 7 <> 0 THEN CASE WHEN k % 2 = 0 THEN eff ELSE TIMESTAMP '2003-01-01 00:00:00' END END AS timestamp FROM tx WHERE st = 'F' UNION ALL SELECT ledger, k + 1000000000, tx_id, 'already reverted', NULL FROM tx WHERE st = 'F' AND k % 5 = 0", "tx")
+def revert_once(f):
+    own = f.tx.where("st = 'F'")
+    asked = own.select("ledger", F.col("k").alias("arrival"), "tx_id", (F.col("k") % 2 == 0).alias("at_effective"))
+    asked = asked.union(own.where("k % 5 = 0").select("ledger", F.col("k") + 1_000_000_000, "tx_id", F.lit(False)))
+    out = commit.reversals(f.tx, asked, F.lit("2003-01-01 00:00:00").cast("timestamp_ntz"), own.where("k % 7 = 0"))
+    return out.select("ledger", "arrival", "tx_id", "outcome", "timestamp")
+
+
+@query("SELECT DISTINCT ledger, address, CASE WHEN address = 'world' THEN 'world' WHEN held THEN 'not empty' ELSE 'closed' END AS outcome FROM (SELECT ledger, address, bool_or(input <> output) OVER (PARTITION BY ledger, address) AS held FROM volumes)", "volumes")
+def close_accounts(f):
+    return commit.closures(f.volumes, f.volumes.select("ledger", "address").distinct().withColumn("close", F.lit(True)))
+
+
+@query("SELECT * FROM (VALUES ('eu', 'BTC/8', 'registered'), ('main', 'BTC/8', 'known'), ('main', 'BTC/6', 'scale conflict'), ('main', 'gold', 'invalid'), ('main', 'GOLD/3', 'registered'), ('main', 'GOLD/4', 'scale conflict'), ('main', 'POINTS', 'known')) t(ledger, asset, outcome)")
+def register_assets(f):
+    wanted = values(f, "ledger string, asset string", ("eu", "BTC/8"), ("main", "BTC/8"), ("main", "BTC/6"), ("main", "gold"), ("main", "GOLD/3"), ("main", "GOLD/4"), ("main", "POINTS"), ("main", "POINTS"))
+    return commit.registrations(f.assets, wanted)
+
+
+@query("SELECT k, MAP_FROM_ENTRIES([('batch', 'b' || k), ('kind', CASE WHEN k % 2 = 0 THEN 'new' ELSE 'old' END)])['kind'] AS kind, 'b' || k AS tag, k % 2 = 0 AS holds, 1 AS left FROM tx", "tx")
+def metadata_maps(f):
+    m = F.create_map(F.lit("kind"), F.lit("old"))
+    new = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("kind"), F.lit("new"))).otherwise(F.expr("CAST(map() AS map<string,string>)"))
+    own = domain.tagged(domain.merged(m, new), "batch", F.concat(F.lit("b"), F.col("k").cast("string")))
+    rows = f.tx.select("k", own.alias("m"))
+    part = F.create_map(F.lit("kind"), F.lit("new"))
+    return rows.select("k", F.element_at("m", "kind").alias("kind"), F.element_at("m", "batch").alias("tag"), domain.holds(F.col("m"), part).alias("holds"), F.size(domain.without_key(F.col("m"), "kind")).alias("left"))
+
+
+@query("SELECT k, k % 4 = 0 AS up_to FROM tx", "tx")
+def has_up_to(f):
+    own = F.transform("postings", lambda p: F.struct(p["amount"].alias("amount"), F.when(F.col("k") % 4 == 0, True).alias("up_to")))
+    return f.tx.select("k", domain.has_up_to(own).alias("up_to"))
+
+
+@query(f"SELECT ledger, CAST(id AS BIGINT) AS id, hash FROM ({CHAIN})", "tx")
+def tip_round_trip(f):
+    """The text of a tip, read back."""
+    return verify.tips(f.logs).select(domain.tip_parts(F.col("tip")).alias("t")).select("t.ledger", "t.id", "t.hash")
+
+
+@query("SELECT ledger, max(tx_id) AS was, max(tx_id) - 10 AS now FROM tx GROUP BY ALL", "tx")
+def guard_counters(f):
+    last = f.log_rows.groupBy("ledger").agg(F.max("id").alias("last"))
+    return verify.counters(f.log_rows, f.log_rows.join(last, "ledger").where("id <= last - 10"))
+
+
+@query("SELECT asset, quantile_disc(a, 0.5) AS p50, quantile_disc(a, 0.99) AS p99 FROM tx GROUP BY ALL", "tx")
+def amount_percentiles(f):
+    return verify.percentiles(f.tx, ["asset"], "a", [0.5, 0.99])
+
+
+@query("SELECT ledger, source, record_id, count(*) AS matched_count FROM hits GROUP BY ALL UNION ALL SELECT ledger, source, record_id, 0 FROM rec r WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.ledger = r.ledger AND h.source = r.source AND h.record_id = r.record_id)", "hits")
+def recon_marked(f):
+    _, pairs, sets, _ = _matches(f)
+    return recon.marked(f.recon_records, pairs, sets).select(*recon.LINE, "matched_count")
+
+
+@query("SELECT ledger, address, asset, input, output FROM volumes WHERE (address, asset) IN (('world', 'USD/2'), ('fees:platform', 'EUR/2'))", "volumes")
+def volumes_of_pairs(f):
+    wanted = values(f, "address string, asset string", ("world", "USD/2"), ("fees:platform", "EUR/2"))
+    return book.account_volumes(f.moves).join(F.broadcast(wanted), ["address", "asset"], "left_semi").select(*book.KEY, "input", "output")
+
+
+@query("SELECT 'main' AS ledger, l_orderkey * 8 + l_linenumber AS tx_id, sold, bought, due FROM (SELECT l_orderkey, l_linenumber, l_suppkey, sold, CAST(prod // 1000000000 AS BIGINT) AS due, CAST(prod // 1000000000 AS BIGINT) + CASE WHEN l_suppkey % 50 = 0 THEN 3 ELSE l_suppkey % 2 END AS bought FROM conv) WHERE l_suppkey % 50 = 0", "conv")
+def verify_conversion_transactions(f):
+    """Conversions as transactions: the postings summed by asset against the rate in the metadata."""
+    leg = lambda a, b, asset, x: F.struct(F.lit(a).alias("source"), F.lit(b).alias("destination"), F.lit(asset).alias("asset"), x.alias("amount"))
+    half = F.expr("sold DIV 2")
+    postings = F.array(leg("c:w", "desk:in", "USDT/6", half), leg("c:w", "desk:in", "USDT/6", F.col("sold") - half), leg("desk:out", "c:w", "USD/2", F.col("bought")))
+    meta = F.create_map(F.lit("rate"), F.col("rate"), F.lit("from"), F.lit("USDT/6"), F.lit("to"), F.lit("USD/2"))
+    tx = f.conversions.select(F.lit("main").alias("ledger"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tx_id"), postings.alias("postings"), meta.alias("metadata"))
+    return verify.converted(tx)

@@ -91,6 +91,24 @@ class Fixture:
     def logs(self) -> DataFrame:
         return journal.chained(self.log_rows)
 
+    @cached_property
+    def event_log(self) -> DataFrame:
+        """The log as JSON: every entry holds its transaction whole."""
+        data = F.to_json(F.struct(F.col("tx_id").alias("id"), "postings", F.col("eff").alias("timestamp"), "reference"))
+        return self.tx.select("ledger", F.col("tx_id").alias("id"), F.lit("NEW_TRANSACTION").alias("type"), data.alias("data"), F.col("ins").alias("date"), "k")
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        """Orders as submissions of one to three postings; some in batches, some with a key or a reference used before."""
+        return self.tx.select(
+            "ledger",
+            F.col("k").alias("arrival"),
+            F.expr("IF(k % 3 = 0, concat('batch-', CAST(k DIV 12 AS STRING)), NULL)").alias("batch"),
+            "postings",
+            F.expr("IF(k % 50 = 1, concat('R', CAST(k DIV 100 AS STRING)), NULL)").alias("reference"),
+            F.expr("IF(k % 40 = 7, concat('K', CAST(k DIV 80 AS STRING)), NULL)").alias("idem_key"),
+        )
+
     @cached_property
     def tampered_logs(self) -> DataFrame:
         """Altered data at k % 997 = 0, no entry 500."""
