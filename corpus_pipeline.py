@@ -34,8 +34,9 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a packed sequence, with its ids."""
-    return packing.packed(docs, tokenizer("byte_bpe_50k.json"))
+    """One row per piece of a packed sequence, with its ids. The workers' memory is for all stages, so fewer chunks are
+    remembered than where packing is alone."""
+    return packing.packed(docs, tokenizer("byte_bpe_50k.json"), chunks=400_000)
 
 
 STAGES = [

@@ -27,6 +27,8 @@ from tally.llm.simhash import components, text_hash
 SHINGLE = 5
 BUCKETS = 256
 MAX_GROUP = 2048
+#: Words whose hashes a task remembers (about 180 bytes each).
+KNOWN = 200_000
 #: Hashes that the prefixes of partners share at least.
 NEEDED = "(4 * n + 24) DIV 25"
 #: Odd multipliers for the words of a shingle.
@@ -43,7 +45,7 @@ def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
         return np.empty(0, np.uint64)
     for w in words:
         if w not in known:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             known[w] = xxh64_intdigest(w)
     x = np.fromiter((known[w] if w in known else xxh64_intdigest(w) for w in words), np.uint64, len(words))

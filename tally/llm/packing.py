@@ -106,8 +106,8 @@ def pack_shard(sizes: list[int], index: Index, window: int = WINDOW) -> Iterator
         yield row
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, keep_blank: bool = True, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece; ids are little-endian unsigned 32-bit integers."""
+def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, keep_blank: bool = True, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, chunks: int = CHUNKS) -> DataFrame:
+    """One row per piece; ids are little-endian unsigned 32-bit integers. chunks: how many the encoder remembers."""
 
     def pieces(shard: list[tuple[int | None, bytes, str]], first: int) -> Iterator[pa.RecordBatch]:
         sizes = [len(raw) // 4 for _, raw, _ in shard]
@@ -124,7 +124,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int =
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], [x.split()[0] for x in PIECE.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, keep_blank, CHUNKS), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(tokenizer, keep_blank, chunks), int(end_id).to_bytes(4, "little")
         first = TaskContext.get().partitionId() << 40
         shard, tokens = [], 0
         for b in batches:
