@@ -267,7 +267,7 @@ def verify_log(f):
     return verify.log_hashes(f.tampered_logs)
 
 
-@query("SELECT DISTINCT ledger, CAST(501 AS BIGINT) AS id, CAST(499 AS BIGINT) AS after FROM tx WHERE tx_id = 501", "tx")
+@query("SELECT ledger, id, after FROM (SELECT ledger, tx_id AS id, coalesce(lag(tx_id) OVER (PARTITION BY ledger ORDER BY tx_id), 0) AS after FROM tx WHERE tx_id <> 500) WHERE id <> after + 1", "tx")
 def verify_log_gaps(f):
     return verify.log_gaps(f.tampered_logs)
 
@@ -277,7 +277,10 @@ def verify_projection(f):
     return verify.projection(f.tampered_volumes, book.account_volumes(f.moves))
 
 
-@query("SELECT ledger, tx_id AS id, 'not logged' AS finding FROM tx WHERE tx_id = 500", "tx")
+LOGGED = "SELECT coalesce(t.ledger, l.ledger) AS ledger, coalesce(t.tx_id, l.tx_id) AS id, CASE WHEN l.tx_id IS NULL THEN 'not logged' ELSE 'no transaction' END AS finding FROM tx t FULL JOIN (SELECT ledger, tx_id FROM tx WHERE tx_id <> 500) l ON l.ledger = t.ledger AND l.tx_id = t.tx_id WHERE l.tx_id IS NULL OR t.tx_id IS NULL"
+
+
+@query(LOGGED, "tx")
 def verify_tx_logged(f):
     return verify.logged(f.tx, f.log_rows.where("id <> 500"))
 
@@ -323,7 +326,12 @@ def chain_tip(f):
     return verify.tips(f.logs).select("ledger", "id", "hash")
 
 
-@query("SELECT DISTINCT ledger, CAST(10 AS BIGINT) AS id, 'ok' AS verdict FROM tx UNION ALL SELECT DISTINCT ledger, CAST(11 AS BIGINT), 'forked' FROM tx UNION ALL SELECT DISTINCT ledger, CAST(999999999 AS BIGINT), 'behind' FROM tx", "tx")
+TIPS = f"""SELECT r.ledger, r.id, CASE WHEN o.hash IS NULL THEN 'behind' WHEN o.hash <> r.hash THEN 'forked' ELSE 'ok' END AS verdict
+  FROM (SELECT ledger, unnest([10, 11, 999999999])::BIGINT AS id, hash FROM ({CHAIN.replace("FROM tx", "FROM tx WHERE tx_id <= 10")}) WHERE id = 10) r
+  LEFT JOIN (SELECT * FROM ({CHAIN.replace("FROM tx", "FROM tx WHERE tx_id <= 10")}) WHERE id = 10 UNION ALL SELECT * FROM ({CHAIN.replace("FROM tx", "FROM tx WHERE tx_id <= 11")}) WHERE id = 11) o ON o.ledger = r.ledger AND o.id = r.id"""
+
+
+@query(TIPS, "tx")
 def check_tip(f):
     known = f.logs.where("id = 10").select("ledger", "id", F.lower(F.hex("hash")).alias("hash"))
     wrong = known.select("ledger", F.lit(11).cast("long").alias("id"), "hash").union(known.select("ledger", F.lit(999999999).cast("long").alias("id"), "hash"))
@@ -550,7 +558,10 @@ def unknown_assets(f):
     return journal.unknown_assets(f.moves, f.assets)
 
 
-@query("SELECT 'main' AS ledger, 'USD' AS code, CAST(2 AS BIGINT) AS scales")
+REGISTRY = "SELECT ledger, asset FROM (SELECT unnest(['eu', 'main']) AS ledger), (SELECT unnest(['USD/2', 'EUR/2', 'USDT/6', 'POINTS', 'BTC/8']) AS asset) WHERE NOT (ledger = 'eu' AND asset = 'BTC/8') UNION ALL VALUES ('main', 'USD/3'), ('eu', 'EUR/2')"
+
+
+@query(f"SELECT ledger, string_split(asset, '/')[1] AS code, count(DISTINCT coalesce(nullif(string_split(asset, '/')[2], ''), '0')) AS scales FROM ({REGISTRY}) GROUP BY ALL HAVING count(DISTINCT coalesce(nullif(string_split(asset, '/')[2], ''), '0')) > 1")
 def asset_scale_conflicts(f):
     return journal.scale_conflicts(f.assets.union(values(f, "ledger string, asset string", ("main", "USD/3"), ("eu", "EUR/2"))))
 
