@@ -25,7 +25,7 @@ def main(args: list[str] | None = None) -> int:
     if own.command == "tip":
         rows = verify.tips(Fixture(spark, own.dir).logs).select("tip").orderBy("tip")
     else:
-        rows = QUERIES["verify_run"](spark, own.dir)
+        rows = QUERIES["verify_all"](spark, own.dir)
     got = rows.collect()
     for r in got:
         print(json.dumps(r.asDict(), default=str) if own.json else "\t".join(map(str, r)))

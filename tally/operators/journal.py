@@ -118,9 +118,10 @@ def swept(postings: Column, balances: Column) -> Column:
     return F.aggregate(postings, start, step, lambda acc: acc["out"])
 
 
-def revert(tx: DataFrame, at_effective: bool = False) -> DataFrame:
-    """Reversals of transactions: same effective date on request, else the date of insertion."""
-    return tx.select("ledger", F.col("tx_id").alias("reverts"), F.col("eff" if at_effective else "ins").alias("timestamp"), domain.reversed_postings(F.col("postings")).alias("postings"))
+def revert(tx: DataFrame, at_effective: bool = False, at: Column | None = None) -> DataFrame:
+    """Reversals of transactions: dated `at` (now, if not given), or like the original on request."""
+    when = F.col("eff") if at_effective else F.localtimestamp() if at is None else at
+    return tx.select("ledger", F.col("tx_id").alias("reverts"), when.alias("timestamp"), domain.reversed_postings(F.col("postings")).alias("postings"))
 
 
 def metadata_now(changes: DataFrame) -> DataFrame:

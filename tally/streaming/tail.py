@@ -1,7 +1,8 @@
 """Following the log: volumes kept current from a stream of moves.
 
 Backdated entries are never dropped, so there is no watermark: each micro-batch adds its sums to a versioned table of
-volumes, and a batch that is run again (after a failure) writes the version that it wrote before.
+volumes, and a batch that is run again (after a failure) writes the version that it wrote before. It needs the one before
+that, so two versions are kept and older ones deleted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def follow(moves: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         if n:
             now = spark.read.parquet(f"{path}/v={n - 1}").unionByName(now).groupBy(*book.KEY).agg(F.sum("input").alias("input"), F.sum("output").alias("output"))
         now.write.mode("overwrite").parquet(f"{path}/v={n}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return moves.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

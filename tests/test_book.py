@@ -165,11 +165,19 @@ def test_follow(spark, tmp_path, sf):
     stream = spark.readStream.schema(f.moves.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/moves")
     follow(stream, f"{tmp_path}/volumes", f"{tmp_path}/check").awaitTermination(120)
     last = max((tmp_path / "volumes").glob("v=*"), key=lambda p: int(p.name[2:]))
+    assert int(last.name[2:]) >= 2 and len(list((tmp_path / "volumes").glob("v=*"))) == 2
     got = {tuple(r) for r in spark.read.parquet(str(last)).select(*book.KEY, "input", "output").collect()}
     assert got == {tuple(r) for r in book.account_volumes(f.moves).collect()}
     assert windowed_activity(f.moves).agg(F.sum("n")).first()[0] == f.moves.count()
 
 
+def test_date_of_reversal(spark):
+    t = tx(spark, (1, [("world", "alice", 100)]))
+    date = lambda **kw: journal.revert(t, **kw).first().timestamp
+    assert date(at_effective=True) == day(1) and date(at=F.lit(day(9)).cast("timestamp_ntz")) == day(9)
+    assert date() > day(700)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
