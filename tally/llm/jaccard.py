@@ -8,6 +8,11 @@ a text with fewer of them than ceil(0.16 n) has no partner. Of the others' s has
 s - ceil(0.16 n) + 1 rarest: two partners still have one of those in common. What these connect is a candidate group,
 which a task holds with the texts and links exactly by whole sets; of the links a spanning forest leaves.
 
+A hash that very many texts have is dealt out by text as well, so that no task gets all of its rows: `common` finds such
+hashes on a sample, and all of them rank behind every other hash. Which ones they are changes the candidates, never the
+links: partners meet in any order of hashes that is the same for all texts, and a hash that only one text has does no
+harm.
+
 Hashes are cut to fewer bits on the way to the groups, which only adds candidates. Copies count as one text. A group
 beyond `limit` texts is dealt into blocks, and each pair of blocks is a task. A null or blank text has no shingles.
 """
@@ -26,6 +31,10 @@ from tally.llm.simhash import components, text_hash
 
 SHINGLE = 5
 BUCKETS = 256
+#: Texts that share a task of a common hash; texts of the sample; the part of them that makes a hash common.
+DEALT, SAMPLE, COMMON = 65_536, 2048, 0.02
+#: The frequency that ranks a common hash.
+LAST = 1 << 40
 MAX_GROUP = 2048
 #: Words whose hashes a task remembers (about 180 bytes each).
 KNOWN = 200_000
@@ -58,42 +67,74 @@ def similar(common, a, b):
     return 9 * common >= 4 * (a + b)
 
 
-def prefixes(buckets: int):
+def prefix(text: str | None, known: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The number of a text's shingles, and those of its prefix."""
+    s = shingles(text, known)
+    n = s.size
+    return n, s[: n - (4 * n + 4) // 5 + (n + 4) // 5]
+
+
+def token(key: np.ndarray, bucket) -> np.ndarray:
+    return key.astype(np.int64) << 24 | bucket
+
+
+def common(rows: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """Tokens that COMMON of a sample of about SAMPLE different texts have in their prefixes, or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for b in batches:
+            for t in b.column(1):
+                s = prefix(t.as_py(), known)[1]
+                own = token(s >> np.uint64(32), (s & np.uint64(buckets - 1)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["token"])
+
+    few = rows.where(F.pmod("h", F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["h"])
+    seen = few.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c"))
+    return np.array([r.token for r in seen.where(F.col("c") >= max(2.0, COMMON * min(n, SAMPLE))).collect()], np.int64)
+
+
+def prefixes(buckets: int, often: np.ndarray, salts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            keys, rows = [], []
+            keys, deal, rows = [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingles(t.as_py(), known)
-                n = s.size
-                s = s[: n - (4 * n + 4) // 5 + (n + 4) // 5]
+                n, s = prefix(t.as_py(), known)
                 own = np.empty(s.size, PART)
                 own["key"], own["n"], own["h"] = s >> np.uint64(32), n, h
                 keys.append((s & np.uint64(buckets - 1)).astype(np.int64))
+                deal.append(np.full(s.size, 1 + h % salts, np.int64))
                 rows.append(own)
             if not rows:
                 continue
-            key, row = np.concatenate(keys), np.concatenate(rows)
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            key, salt, row = np.concatenate(keys), np.concatenate(deal), np.concatenate(rows)
+            salt[~np.isin(token(row["key"], key), often)] = 0
+            place = key * (salts + 1) + salt
+            order = np.argsort(place, kind="stable")
+            place, row = place[order], row[order]
+            cut = np.flatnonzero(np.diff(place, prepend=-1))
             parts = [row[i:j].tobytes() for i, j in zip(cut, [*cut[1:], row.size], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(parts, pa.binary())], ["bucket", "part"])
+            bucket, salt = np.divmod(place[cut], salts + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(parts, pa.binary())], ["bucket", "salt", "part"])
 
     return run
 
 
 def shared(t: pa.Table) -> pa.Table:
-    """Of a bucket, the hashes that different texts have: (token, h, n, df)."""
+    """Of a bucket, the hashes that different texts have: (token, h, n, df). Of common hashes all rows stay."""
     x = np.concatenate([np.frombuffer(p.as_py(), PART) for p in t.column("part")])
     x = x[np.lexsort((x["h"], x["key"]))]
     if x.size:  # of copies, one
         x = x[np.concatenate([[True], (x["key"][1:] != x["key"][:-1]) | (x["h"][1:] != x["h"][:-1])])]
-    _, inverse, df = np.unique(x["key"], return_inverse=True, return_counts=True)
-    df = df[inverse]
-    x, df = x[df > 1], df[df > 1]
-    token = x["key"].astype(np.int64) << 16 | t.column("bucket")[0].as_py()
-    return pa.table({"token": token, "h": x["h"], "n": x["n"].astype(np.int64), "df": df.astype(np.int64)})
+    if t.column("salt")[0].as_py():
+        df = np.full(x.size, LAST, np.int64)
+    else:
+        _, inverse, df = np.unique(x["key"], return_inverse=True, return_counts=True)
+        df = df[inverse]
+        x, df = x[df > 1], df[df > 1]
+    own = token(x["key"], t.column("bucket")[0].as_py())
+    return pa.table({"token": own, "h": x["h"], "n": x["n"].astype(np.int64), "df": df.astype(np.int64)})
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -135,12 +176,14 @@ def linked(t: pa.Table) -> pa.Table:
     return pa.table({"a": h[pairs[:, 0]], "b": h[pairs[:, 1]]})
 
 
-def links(docs: DataFrame, limit: int = MAX_GROUP) -> DataFrame:
+def links(docs: DataFrame, limit: int = MAX_GROUP, dealt: int = DEALT) -> DataFrame:
     """(a, b): hashes of texts, edges that connect exactly what Jaccard similarities of 0.8 or more connect."""
     rows = docs.select(text_hash(F.col("text")).alias("h"), "text")
-    buckets = BUCKETS << min(8, (rows.count() // 4_000_000).bit_length())
-    dealt = rows.mapInArrow(prefixes(buckets), "bucket long, part binary")
-    both = publish(dealt.groupBy("bucket").applyInArrow(shared, "token long, h long, n long, df long"), "shingles")
+    n = rows.count()
+    buckets, salts = BUCKETS << min(16, (n // 4_000_000).bit_length()), 1 + n // dealt
+    often = common(rows, n, buckets) if salts > 1 else np.empty(0, np.int64)  # a single task would get them anyway
+    parts = rows.mapInArrow(prefixes(buckets, often, salts), "bucket long, salt long, part binary")
+    both = publish(parts.groupBy("bucket", "salt").applyInArrow(shared, "token long, h long, n long, df long"), "shingles")
     enough = both.groupBy("h").agg(F.count("*").alias("s"), F.first("n").alias("n")).withColumn("take", F.expr(f"s - {NEEDED} + 1")).where("take > 0").select("h", "take")
     # a text's rarest hashes: its own rows only, at most two fifths of its shingles
     ranked = both.join(enough, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("df", "token")))

@@ -266,6 +266,44 @@ def test_keep_one_of_repeated_rows(spark):
     simhash.short.__defaults__ = (few,)
 
 
+@pytest.mark.parametrize("dealt", [7, 50, jaccard.DEALT])
+def test_common_hashes_are_dealt_by_text(spark, dealt):
+    """One passage in every text, so that its hashes are common: the same links however its rows are dealt, by brute force."""
+    rng = random.Random(4)
+    line, rows = words(rng, 30, head="line"), []
+    for i in range(40):
+        own = words(rng, 60, of=10**6)
+        rows += [" ".join(line + own), " ".join(line + own[:-2] + words(rng, 2, of=10**6, head="x"))]
+        rows.append(" ".join(line + words(rng, 3 if i % 2 else 25, of=10**6, head="y")))
+    rows += rows[:60]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    docs = df.select(simhash.text_hash(F.col("text")).alias("h"), "text")
+    often = jaccard.common(docs, len(rows), jaccard.BUCKETS)
+    assert often.size >= 5
+    most = jaccard.prefixes(jaccard.BUCKETS, often, 1 + len(rows) // dealt)
+    dealt_to = docs.mapInArrow(most, "bucket long, salt long, part binary").where("salt > 0").select("salt").distinct().count()
+    assert dealt_to == (1 if dealt == jaccard.DEALT else 1 + len(rows) // dealt)
+    texts = {r.h: r.text.split() for r in docs.collect()}
+    sets = {h: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for h, w in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+
+    def roots(edges):
+        root = {h: h for h in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {h: find(h) for h in sets}
+
+    assert len(near) > 40
+    assert roots(near) == roots((r.a, r.b) for r in jaccard.links(df, dealt=dealt).collect())
+
+
 def test_discard(spark):
     t = common.publish(spark.range(3), "x")
     path = t._published
