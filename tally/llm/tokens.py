@@ -31,8 +31,10 @@ KEEP_BLANK = re.compile(rf" ?{PLAIN}| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 DROP_BLANK = re.compile(rf"{PLAIN}|[^ \n]+")
 #: Chunks that can be encoded in one string and told apart again.
 SIMPLE = re.compile(r"( ?)[!-~¡-ÿ]+")
-#: Chunks that the word-level tokenizer's normalizer and splitter leave as they are: its model alone can encode them.
+#: Chunks that the word-level or the byte-level tokenizer's normalizer and splitter leave as they are: its model alone can
+#: encode them, in half the time.
 LOWER = re.compile(r"[a-zà-öø-ÿ]+")
+LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level alphabet of the vocabularies: printable bytes stand for themselves, the others for what follows 255.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = "".join(chr(b) if b in PRINTABLE else chr(256 + b - sum(p < b for p in PRINTABLE)) for b in range(256))
@@ -117,14 +119,12 @@ class Encoder:
         missing = {p[i] for p, own in zip(parts, gaps, strict=True) for i in own}
         found: dict[str, bytes | None] = {}
         if missing:
-            blank = " " if self.keep_blank else ""
-            simple = [c for c in missing if (m := SIMPLE.fullmatch(c)) and m[1] == blank and "<|" not in c]
-            if not self.keep_blank:
-                tokenize = self.tok.model.tokenize
-                for c in simple:
-                    if LOWER.fullmatch(c):
-                        found[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
-                simple = [c for c in simple if c not in found]
+            blank, word = (" ", LETTERS) if self.keep_blank else ("", LOWER)
+            tokenize = self.tok.model.tokenize
+            for c in filter(word.fullmatch, missing):
+                form = c.replace(" ", ALPHABET[32]) if c.isascii() else c.encode().decode("latin-1").translate(ALPHABET)
+                found[c] = array("I", [t.id for t in tokenize(form)]).tobytes()
+            simple = [c for c in missing if c not in found and (m := SIMPLE.fullmatch(c)) and m[1] == blank and "<|" not in c]
             found.update(zip(simple, self._simple(simple), strict=True))
             other = [c for c in missing if c not in found]
             plain = [c for c in other if not ODD.search(c)]

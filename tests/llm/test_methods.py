@@ -468,3 +468,15 @@ def test_links_of_long_pages(spark):
     got = {(r.src, r.dst) for r in hostgraph.links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {("a.io", "yes.io"), ("a.io", "two.io"), ("c.io", "end.io")}
     assert time.perf_counter() - began < 60
+
+
+def test_new_words_are_encoded_by_the_model_alone(monkeypatch):
+    """Letters are one piece to the byte-level splitter: only other chunks are put together, encoded and cut again."""
+    rng, asked = random.Random(5), []
+    e = Encoder(queries.tokenizer("byte_bpe_50k.json"), True)
+    simple = e._simple
+    monkeypatch.setattr(e, "_simple", lambda chunks: asked.extend(chunks) or simple(chunks))
+    texts = [" ".join("".join(rng.choice("abcEzéßÀøÿñ") for _ in range(rng.randrange(1, 90))) for _ in range(60)) + ". 12 a1 it's x-y ª µm\nEnd" for _ in range(40)]
+    whole = [np.array(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == whole
+    assert asked and not any(re.fullmatch(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+", c) for c in asked)
