@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +90,37 @@ def short(keys: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(work: str) -> dict:
+    """What this Python worker remembers from task to task for a kind of work; what it remembers for others is let go."""
+    for k in _kept.keys() - {work}:
+        del _kept[k]
+    return _kept.setdefault(work, {})
+
+
+def trim() -> None:
+    """Gives memory that this process has freed back to the system: Arrow's and the C library's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable, work: str = "") -> Callable:
+    """run, for mapInArrow, in a Python worker that keeps nothing of other work, nor free memory when the task ends.
+
+    Workers stay between tasks and stages, so what one stage leaves in them counts in all later ones.
+    """
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(work)
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, though body mentions it often, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import fresh, publish, short
+from tally.llm.common import fresh, lean, publish, short
 
 RARE_SHARE = 1e-4
 RARE_LEAST = 20
@@ -230,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     ["doc_id", "text_hash", "item_id", "score", "first_word", "end_word"],
                 )
 
-        found = base.mapInArrow(find, "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
+        found = base.mapInArrow(lean(find), "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
         out = found if out is None else out.union(found)
     best = F.min(F.struct((-F.col("score")).alias("s"), "first_word", "end_word")).alias("m")
     scored = publish(out, "matches").groupBy("doc_id", "text_hash", "item_id").agg(best)

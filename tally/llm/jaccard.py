@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import publish, short
+from tally.llm.common import lean, publish, short
 from tally.llm.simhash import components, text_hash
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ LAST = 1 << 40
 MAX_GROUP = 2048
 #: Words whose hashes a task remembers (about 180 bytes each).
 KNOWN = 200_000
+#: Hashes that a task deals out at once (about 100 bytes each).
+AT_ONCE = 1 << 18
 #: Hashes that the prefixes of partners share at least.
 NEEDED = "(4 * n + 24) DIV 25"
 #: Odd multipliers for the words of a shingle.
@@ -90,33 +92,41 @@ def common(rows: DataFrame, n: int, buckets: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(own)], ["token"])
 
     few = rows.where(F.pmod("h", F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["h"])
-    seen = few.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c"))
+    seen = few.mapInArrow(lean(run), "token long").groupBy("token").agg(F.count("*").alias("c"))
     return np.array([r.token for r in seen.where(F.col("c") >= max(2.0, COMMON * min(n, SAMPLE))).collect()], np.int64)
 
 
 def prefixes(buckets: int, often: np.ndarray, salts: int):
+    """Function for mapInArrow: rows (h, text) to packed prefixes by bucket. AT_ONCE hashes are held, whatever the batches hold."""
+
+    def dealt(keys: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        salt = 1 + row["h"] % salts
+        salt[~np.isin(token(row["key"], key), often)] = 0
+        place = key * (salts + 1) + salt
+        order = np.argsort(place, kind="stable")
+        place, row = place[order], row[order]
+        cut = np.flatnonzero(np.diff(place, prepend=-1))
+        parts = [row[i:j].tobytes() for i, j in zip(cut, [*cut[1:], row.size], strict=True)]
+        bucket, salt = np.divmod(place[cut], salts + 1)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(parts, pa.binary())], ["bucket", "salt", "part"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        keys, rows, held = [], [], 0
         for b in batches:
-            keys, deal, rows = [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 n, s = prefix(t.as_py(), known)
                 own = np.empty(s.size, PART)
                 own["key"], own["n"], own["h"] = s >> np.uint64(32), n, h
                 keys.append((s & np.uint64(buckets - 1)).astype(np.int64))
-                deal.append(np.full(s.size, 1 + h % salts, np.int64))
                 rows.append(own)
-            if not rows:
-                continue
-            key, salt, row = np.concatenate(keys), np.concatenate(deal), np.concatenate(rows)
-            salt[~np.isin(token(row["key"], key), often)] = 0
-            place = key * (salts + 1) + salt
-            order = np.argsort(place, kind="stable")
-            place, row = place[order], row[order]
-            cut = np.flatnonzero(np.diff(place, prepend=-1))
-            parts = [row[i:j].tobytes() for i, j in zip(cut, [*cut[1:], row.size], strict=True)]
-            bucket, salt = np.divmod(place[cut], salts + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(parts, pa.binary())], ["bucket", "salt", "part"])
+                held += s.size
+                if held >= AT_ONCE:
+                    yield dealt(keys, rows)
+                    keys, rows, held = [], [], 0
+        if held:
+            yield dealt(keys, rows)
 
     return run
 
@@ -182,7 +192,7 @@ def links(docs: DataFrame, limit: int = MAX_GROUP, dealt: int = DEALT) -> DataFr
     n = rows.count()
     buckets, salts = BUCKETS << min(16, (n // 4_000_000).bit_length()), 1 + n // dealt
     often = common(rows, n, buckets) if salts > 1 else np.empty(0, np.int64)  # a single task would get them anyway
-    parts = rows.mapInArrow(prefixes(buckets, often, salts), "bucket long, salt long, part binary")
+    parts = rows.mapInArrow(lean(prefixes(buckets, often, salts)), "bucket long, salt long, part binary")
     both = publish(parts.groupBy("bucket", "salt").applyInArrow(shared, "token long, h long, n long, df long"), "shingles")
     enough = both.groupBy("h").agg(F.count("*").alias("s"), F.first("n").alias("n")).withColumn("take", F.expr(f"s - {NEEDED} + 1")).where("take > 0").select("h", "take")
     # a text's rarest hashes: its own rows only, at most two fifths of its shingles

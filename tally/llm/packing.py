@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.llm.common import lean
 from tally.llm.tokens import TEXTS, encoder
 
 WINDOW = 1024
@@ -145,7 +146,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int =
         if shard:
             yield from pieces(shard, first)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run, "encoders"), PIECE)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

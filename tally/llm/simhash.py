@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import discard, fresh, publish, short
+from tally.llm.common import discard, fresh, lean, publish, short
 
 RADIUS = 4
 SEGMENTS = 32
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
 def embedding(fp: Column) -> Column:

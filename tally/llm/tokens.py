@@ -20,6 +20,8 @@ from itertools import islice
 
 import numpy as np
 
+from tally.llm.common import kept
+
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 #: White space besides the blank and newline, in any reading of the word; the opening of a special token; and the one
@@ -153,12 +155,9 @@ def lower(text: str) -> str:
     return text.lower()
 
 
-_made: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keep_blank: bool, most: int = MAX_CHUNKS) -> Encoder:
-    """One per Python worker; it remembers `most` chunks (about 200 bytes each)."""
-    key = (path, keep_blank)
-    if key not in _made:
-        _made[key] = Encoder(path, keep_blank, most)
-    return _made[key]
+    """One per Python worker, until that does other work; it remembers `most` chunks (about 200 bytes each)."""
+    made, key = kept("encoders"), (path, keep_blank)
+    if key not in made:
+        made[key] = Encoder(path, keep_blank, most)
+    return made[key]

@@ -1,16 +1,20 @@
 """What the operators' methods promise beyond their queries' digests: recall, scores, fixed points, pruning, linear time."""
 
+import gc
 import random
 import re
 import time
+import tracemalloc
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tally.llm import chat, common, decontam, hilbert, hostgraph, html_main, jaccard, packing, pii, quality, queries, simhash, token_orc
+from tally.llm import chat, common, decontam, hilbert, hostgraph, html_main, jaccard, packing, pii, quality, queries, simhash, token_orc, tokens
 from tally.llm.tokens import Encoder
 
 
@@ -304,6 +308,46 @@ def test_common_hashes_are_dealt_by_text(spark, dealt):
     assert roots(near) == roots((r.a, r.b) for r in jaccard.links(df, dealt=dealt).collect())
 
 
+def test_prefixes_hold_little_of_a_batch():
+    """However long the batches are, a task holds about 2^18 hashes, and all of them arrive."""
+    rng, known, most = np.random.default_rng(6), {}, (1 << 18) + 400
+    texts = [" ".join(map(str, x)) for x in rng.integers(0, 10**5, (3000, 600)).tolist()] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, j)), pa.array(texts[i:j], pa.string())], ["h", "text"]) for i, j in ((0, 2990), (2990, 3000), (3000, 3002))]
+    n = got = total = 0
+    tracemalloc.start()
+    for b in jaccard.prefixes(256, np.empty(0, np.int64), 1)(iter(batches)):
+        held = 0
+        for bucket, salt, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            x = np.frombuffer(part, jaccard.PART)
+            held += x.size
+            total += int(((x["key"].astype(np.uint64) << np.uint64(8) | np.uint64(bucket)) * (x["h"] + 1).astype(np.uint64)).sum())
+            assert salt == 0
+        assert held <= most
+        got += held
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = 0
+    for h, t in enumerate(texts):
+        s = jaccard.prefix(t, known)[1]
+        n += s.size
+        want += int((((s >> np.uint64(32)) << np.uint64(8) | s & np.uint64(255)) * np.uint64(h + 1)).sum())
+    assert got == n > 2 * most
+    assert total % 2**64 == want % 2**64
+    assert peak < 60e6
+
+
+def test_workers_keep_nothing_of_other_work():
+    """A stage's Python workers serve the next stage: it doesn't carry the tokenizer and chunks of the one before."""
+    path = queries.tokenizer("byte_bpe_50k.json")
+    made = weakref.ref(tokens.encoder(path, True))
+    assert tokens.encoder(path, True) is made()
+    list(common.lean(lambda batches: batches, "encoders")(iter([])))
+    assert made() is not None
+    list(common.lean(jaccard.prefixes(256, np.empty(0, np.int64), 1))(iter([])))
+    gc.collect()
+    assert made() is None
+
+
 def test_discard(spark):
     t = common.publish(spark.range(3), "x")
     path = t._published
